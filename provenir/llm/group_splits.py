@@ -8,7 +8,8 @@ wanted. The others are dealt into cells of about CELL groups with the same
 leading bucket. In a cell the largest-differencing method merges, again and
 again, the two partial partitions with the widest spread, heavy bins with
 light ones, until BINS nearly equal bins are left; whole bins then go to the
-splits in proportion to what each still wants of the cell's bucket.
+splits in proportion to what each still wants of the cell's bucket, and are
+moved or exchanged while that brings the cell nearer to its share of all buckets.
 
 Rows without line_no or tag are no records; records delivered twice count
 once. A line without a readable hash is a group of its own; a null bucket is
@@ -82,6 +83,40 @@ def _deal(wanted: np.ndarray, bins: int, turn: float) -> np.ndarray:
     return np.searchsorted(edges[:-1], spots, side="right")[order]
 
 
+def settle(parts: np.ndarray, splits: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Move or exchange whole bins while that brings the splits nearer to their share of every bucket.
+
+    parts has a row for each bin with its records by bucket; the distance is
+    the sum of squared differences over splits and buckets, and over all records.
+    """
+    parts = np.column_stack([parts, parts.sum(axis=1)]).astype(float)
+    splits, k = splits.copy(), len(shares)
+    off = np.stack([parts[splits == s].sum(axis=0) for s in range(k)]) - np.outer(shares, parts.sum(axis=0))
+    norm = (parts**2).sum(axis=1)
+    for _ in range(20 * len(parts)):
+        reach = parts @ off.T  # bins x splits
+        own = reach[np.arange(len(parts)), splits]
+        move = 2 * (reach - own[:, None]) + 2 * norm[:, None]
+        move[np.arange(len(parts)), splits] = 0
+        dots = parts @ parts.T
+        there = reach[:, splits]  # bin i against the split of bin j
+        swap = 2 * (there - own[:, None] + there.T - own[None, :]) + 2 * (norm[:, None] + norm[None, :] - 2 * dots)
+        swap[splits[:, None] == splits[None, :]] = 0
+        if min(move.min(), swap.min()) > -1e-6:
+            break
+        if move.min() <= swap.min():
+            i, s = np.unravel_index(move.argmin(), move.shape)
+            steps = [(i, s)]
+        else:
+            i, j = np.unravel_index(swap.argmin(), swap.shape)
+            steps = [(i, splits[j]), (j, splits[i])]
+        for i, s in steps:
+            off[splits[i]] -= parts[i]
+            off[s] += parts[i]
+            splits[i] = s
+    return splits
+
+
 def _place_giants(giants: list, totals: dict[str, int], shares: np.ndarray) -> tuple[dict, dict[str, np.ndarray]]:
     """The split of each giant, and what each split still wants of every bucket."""
     wants = {b: shares * n for b, n in totals.items()}
@@ -107,7 +142,7 @@ def assign_splits(records: DataFrame, targets: DataFrame) -> DataFrame:
     ties = tied_lines(records)
     lines = rows.join(ties, "line_no", "left").withColumn("group_line_no", F.coalesce("group_line_no", "line_no"))
     per_bucket = lines.groupBy("group_line_no", "bucket").agg(F.count("*").alias("n"))
-    groups = per_bucket.groupBy("group_line_no").agg(F.sum("n").alias("weight"), F.max_by("bucket", F.struct("n", "bucket")).alias("lead"))
+    groups = per_bucket.groupBy("group_line_no").agg(F.sum("n").alias("weight"), F.max_by("bucket", F.struct("n", "bucket")).alias("lead"), F.collect_list(F.struct("bucket", "n")).alias("buckets"))
     groups = cut(groups, "p6-groups")
     totals = {r["bucket"]: r["n"] for r in rows.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
     total = sum(totals.values())
@@ -117,7 +152,7 @@ def assign_splits(records: DataFrame, targets: DataFrame) -> DataFrame:
     share = share / share.sum()
 
     heavy = groups.where(F.col("weight") * GIANTS > total)
-    giants = heavy.join(per_bucket, "group_line_no").groupBy("group_line_no", "weight").agg(F.collect_list(F.struct("bucket", "n")).alias("buckets")).collect()
+    giants = heavy.collect()
     place, wants = _place_giants(giants, totals, share)
 
     light = groups.where(F.col("weight") * GIANTS <= total)
@@ -129,8 +164,15 @@ def assign_splits(records: DataFrame, targets: DataFrame) -> DataFrame:
         part = part.sort_values(["weight", "group_line_no"], ascending=[False, True])
         bins = difference(part["weight"].tolist(), BINS)
         turn = (key[1] * 0.6180339887498949 + sum(map(ord, key[0])) * 0.3819660112501051) % 1.0
+        column = {b: i for i, b in enumerate(sorted(totals))}
+        held = np.zeros((BINS, len(column)))
+        buckets = part["buckets"].tolist()
+        for row, items in zip(held, bins):
+            for x in (x for i in items for x in buckets[i]):
+                row[column[x["bucket"]]] += x["n"]
+        wanted = wants[key[0]] if wants[key[0]].sum() > 0 else share
         splits = np.empty(len(part), np.int64)
-        for items, s in zip(bins, _deal(wants[key[0]], BINS, turn)):
+        for items, s in zip(bins, settle(held, _deal(wanted, BINS, turn), wanted / wanted.sum())):
             splits[items] = s
         return pd.DataFrame({"group_line_no": part["group_line_no"].to_numpy(), "split": [names[s] for s in splits]})
 
