@@ -28,7 +28,7 @@ file: stmt*
 stmt: simple | compound
 simple: smalls NEWLINE | smalls ';' NEWLINE
 smalls: small | smalls ';' small
-small: stars | assign | stars AUG rhs | expr ':' expr | expr ':' expr '=' rhs
+small: rhs | assign | stars AUG rhs | expr ':' expr | expr ':' expr '=' rhs
   | 'pass' | 'break' | 'continue' | 'return' | 'return' stars | 'raise' | 'raise' expr | 'raise' expr 'from' expr
   | 'global' names | 'nonlocal' names | 'del' stars | 'assert' expr | 'assert' expr ',' expr
   | 'import' modules | 'from' origin 'import' '*' | 'from' origin 'import' aliases | 'from' origin 'import' '(' aliases ')' | 'from' origin 'import' '(' aliases ',' ')'
@@ -170,7 +170,7 @@ localclass: class | 'final' class | 'abstract' class | 'static' class
 local: reftype vars | 'final' reftype vars | annotation reftype vars
 stmt: block | ';' | expr ';' | if | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';'
   | 'for' '(' forinit? ';' expr? ';' exprs? ')' stmt | 'for' '(' reftype NAME ':' expr ')' stmt | 'for' '(' 'final' reftype NAME ':' expr ')' stmt
-  | 'switch' '(' expr ')' '{' group* '}' | 'try' block catch+ finally? | 'try' block finally | 'try' '(' resources ')' block catch* finally? | 'try' '(' resources ';' ')' block catch* finally?
+  | switch | 'try' block catch+ finally? | 'try' block finally | 'try' '(' resources ')' block catch* finally? | 'try' '(' resources ';' ')' block catch* finally?
   | 'return' ';' | 'return' expr ';' | 'throw' expr ';' | 'break' ';' | 'break' NAME ';' | 'continue' ';' | 'continue' NAME ';' | YIELD expr ';'
   | 'synchronized' '(' expr ')' block | 'assert' expr ';' | 'assert' expr ':' expr ';' | NAME ':' stmt
 if: 'if' '(' expr ')' stmt %prec 'then' | 'if' '(' expr ')' stmt 'else' stmt
@@ -192,7 +192,8 @@ expr: expr '=' expr | expr AUG expr | expr '?' expr ':' expr | expr '||' expr |
   | expr '==' expr | expr '!=' expr | expr '<' expr | expr '>' expr | expr '<=' expr | expr '>=' expr | expr 'instanceof' reftype | expr 'instanceof' reftype NAME | expr 'instanceof' 'final' reftype NAME
   | expr '<<' expr | expr '>>' expr | expr '>>>' expr | expr '+' expr | expr '-' expr | expr '*' expr | expr '/' expr | expr '%' expr
   | '+' expr %prec UNARY | '-' expr %prec UNARY | '++' expr %prec UNARY | '--' expr %prec UNARY | castee
-  | LAMBDA '->' expr | LAMBDA '->' block | NAME '->' expr | NAME '->' block | 'switch' '(' expr ')' '{' group* '}'
+  | LAMBDA '->' expr | LAMBDA '->' block | NAME '->' expr | NAME '->' block | switch
+switch: 'switch' '(' expr ')' '{' group* '}'
 castee: primary | primary '++' | primary '--' | '!' castee | '~' castee | '(' prim ')' expr %prec UNARY | '(' prim dims ')' castee | '(' qname dims ')' castee | '(' expr ')' castee
   | '(' expr ')' LAMBDA '->' expr | '(' expr ')' LAMBDA '->' block
 primary: qname | LITERAL | 'this' | 'super' | '(' expr ')' | primary args | primary '[' expr ']' | primary '.' part | primary '.' 'new' part args body? | primary '.' 'this' | primary '.' 'class' | primary '.' 'super'
