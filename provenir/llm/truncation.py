@@ -239,7 +239,7 @@ def ending(text: str | None, header: str = "") -> tuple[str, str, bool]:
     if body == text and re.fullmatch(r"[^\W\d]\w*", tail) and _begun(tail, text[: len(text) - len(tail)], header):
         return unit, "python name", True
     shape = lead if lead in ("return", "raise", "pass", "continue", "break", "S", "yield") else "assign" if "=" in final else "call" if tail == ")" else "expression"
-    return unit, f"python {shape}{' deep' if deep else ''}", False
+    return unit, f"python {shape}{' deep' if deep and shape != 'S' else ''}", False
 
 
 def _begun(name: str, before: str, header: str) -> bool:
