@@ -19,6 +19,7 @@ or with a null prompt are judged with an empty prompt. Rows delivered twice coun
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 import zlib
@@ -80,6 +81,13 @@ def natural_language(words: list[str]) -> tuple[str, float]:
     return (best, counts[best] / len(low)) if counts[best] else ("", 0.0)
 
 
+@functools.lru_cache(maxsize=4096)
+def _prompt_facts(prompt: str) -> tuple[frozenset[str], str, str]:
+    """The words of a prompt, the natural language of its prose and its programming language."""
+    told = " ".join([x for m in _DOCSTRING.finditer(prompt) for x in m.groups() if x] + _REMARK.findall(prompt)) or prompt
+    return frozenset(w.lower() for w in re.findall(r"\w+", prompt)), natural_language(_WORDS.findall(told))[0], program_language(prompt)
+
+
 def answer_of(raw: str) -> str:
     """The answer alone, without the other files, prose and code that follow it."""
     head = raw.split("<file_sep>")[0]
@@ -104,19 +112,18 @@ def features(prompt: str, raw: str | None, clean: str | None, full: bool, unit:
     lines = [x for x in bare.splitlines() if x.strip()]
     stubs = [x for x in lines if _STUB.fullmatch(x)]
     acts = [x for x in lines if not _IDLE.fullmatch(x) and not _STUB.fullmatch(x)]
-    told = " ".join([answer] if prose else [*notes, *remarks, *stubs])
-    told_plain = re.sub(r"`[^`]*`|\b\w*_\w*\b|\b[a-z]+[A-Z]\w*\b", " ", told)
-    words = _WORDS.findall(told_plain)
     all_words = [w.lower() for w in re.findall(r"\w+", answer)]
-    known = {w.lower() for w in re.findall(r"\w+", prompt)}
+    known, asked, ours = _prompt_facts(prompt)
     fresh = [w for w in all_words if w not in known]
-    spoken, share = natural_language(words)
-    prompt_words = _WORDS.findall(" ".join([x for m in _DOCSTRING.finditer(prompt) for x in m.groups() if x] + _REMARK.findall(prompt)) or prompt)
-    asked, _ = natural_language(prompt_words)
-    spoken_own = [w for w in words if w.lower() not in known]
-    ours, theirs = program_language(prompt), program_language(answer) if acts else ""
+    theirs = program_language(answer) if acts else ""
     braces = {"java", "cpp", "braces"}
     swapped = bool(theirs and ours) and (ours != theirs and not (theirs == "braces" and ours in braces) and not (ours == "braces" and theirs in braces))
+    words: list[str] = []
+    spoken, share = "", 0.0
+    if not acts:  # what is told beside working code says nothing of a defect
+        told = " ".join([answer] if prose else [*notes, *remarks, *stubs])
+        words = _WORDS.findall(re.sub(r"`[^`]*`|\b\w*_\w*\b|\b[a-z]+[A-Z]\w*\b", " ", told))
+        spoken, share = natural_language(words)
     foreign = bool(spoken) and spoken != (asked or "en") and len(words) >= 4 and share >= 0.15
     first_person = sum(w.lower() in ("i", "i'm", "i'd", "i've", "i’m", "my", "me", "we") for w in words)
     vector = np.zeros(_DENSE + BUCKETS, np.float32)
@@ -132,7 +139,7 @@ def features(prompt: str, raw: str | None, clean: str | None, full: bool, unit:
     norm = float(np.sqrt((tail**2).sum()))
     if norm:
         tail /= norm
-    return vector, {"acts": len(acts), "fresh": len(fresh), "words": len(all_words), "swapped": swapped, "foreign": foreign, "stubs": len(stubs), "told": len(words), "person": first_person, "own": len(spoken_own), "spoken": spoken}
+    return vector, {"acts": len(acts), "fresh": len(fresh), "words": len(all_words), "swapped": swapped, "foreign": foreign, "stubs": len(stubs), "told": len(words), "spoken": spoken}
 
 
 def holds(defect: str, facts: dict) -> bool:
@@ -245,7 +252,7 @@ def judged(checkpoints: DataFrame, candidates: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, limits = model.value
-        for batch in batches:
+        for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
             columns = (batch.column(c).to_pylist() for c in ("prompt", "raw_output", "clean_output", "full", "unit", "class", "open", "cut"))
             made = [(features(p or "", raw, clean, full, unit, kind, is_open), unit, was_cut) for p, raw, clean, full, unit, kind, is_open, was_cut in zip(*columns)]
             if not made:
