@@ -60,25 +60,37 @@ _CODE = re.compile(
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]`*_]*\Z")
 _HEADER = re.compile(r"(?:if|elif|else|for|while|try|except|finally|with|def|class|async|match|case)\b")
 _NEEDS_MORE = frozenset("return_ and or not in is if else lambda for import from as raise_ assert del with while elif except def class new throw case".split())
-_CODE_SIGNS = re.compile(r"[=(){};\[\]<>]|:$", re.MULTILINE)
 _CUT_MARK = re.compile(r"(?:…|�|\[truncated\]|\[cut\]|<truncated>)\s*\Z")
 
 
 def is_prose(text: str) -> bool:
     """Whether a unit reads as sentences, not as code."""
-    if not text.strip() or text.lstrip()[:1] in "#/\"'@" or re.search(r"^\s*(?:def|class|return|import|from|#include|if|for|while|try|with)\b.*[:;{)]\s*$", text, re.MULTILINE):
+    lead = text.lstrip()[:1]
+    if not lead or lead in "#/\"'@":
         return False
+    plain = re.sub(r"`[^`]*`", "", text) if "`" in text else text
     words = len(re.findall(r"[^\W\d_]{2,}", text))
-    return words >= 3 and len(_CODE_SIGNS.findall(re.sub(r"`[^`]*`", "", text))) <= 0.12 * words
+    if words < 3 or sum(map(plain.count, "=(){};[]<>")) + plain.count(":\n") > 0.12 * words:
+        return False
+    return not re.search(r"^\s*(?:def|class|return|import|from|#include|if|for|while|try|with)\b.*[:;{)]\s*$", text, re.MULTILINE)
 
 
-_BRACED = re.compile(r";[ \t]*(?://[^\r\n]*)?\r?$|(?:\)|\belse|\btry|\bdo|\b(?:class|struct|interface|enum|namespace)\b[^\r\n=]*|\bconst|\bnoexcept|\boverride)[ \t]*\{[ \t]*\r?$", re.MULTILINE)
-_INDENTED = re.compile(r"^[ \t]*(?:def|class|if|elif|else|for|while|try|except|finally|with|async)\b[^\r\n]*:[ \t]*(?:#[^\r\n]*)?\r?$|^[ \t]*return\b[^\r\n;]*\r?$", re.MULTILINE)
+_OPENS = re.compile(r"(?:\)|\belse|\btry|\bdo|\b(?:class|struct|interface|enum|namespace)\b[^=]*|\bconst|\bnoexcept|\boverride)[ \t]*\{\Z")
+_INDENTING = ("def ", "class ", "if ", "elif ", "else", "for ", "while ", "try", "except", "finally", "with ", "async ")
 
 
 def braced(text: str) -> bool:
     """Whether code looks like a language of braces and semicolons."""
-    return len(_BRACED.findall(text)) > len(_INDENTED.findall(text))
+    balance = 0
+    for line in text.splitlines():
+        line = (line.split("//", 1)[0] if "//" in line else line).strip()
+        if line.endswith(";"):
+            balance += 1
+        elif line.endswith("{"):
+            balance += bool(_OPENS.search(line))
+        elif line.endswith(":") and line.startswith(_INDENTING) or line.startswith("return") and ";" not in line:
+            balance -= 1
+    return balance > 0
 
 
 def units(text: str) -> tuple[str, str, str]:
