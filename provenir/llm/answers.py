@@ -51,17 +51,23 @@ _STUB = re.compile(r"\s*(?:raise\s+NotImplementedError|raise\s+\w*(?:Error|Excep
 _OWN = {lang: frozenset(words.split()) for lang, words in P.FUNCTION_WORDS.items()}
 
 
+# What stands in sources of one language and hardly in those of others.
+_CUES = {
+    "python": ("self", "None", "def ", "elif ", "except ", " in ", ".append("),
+    "java": ("final class", "public static", "public class", "throw new", "String ", "static int", "static void", "System.", "boolean ", "import java"),
+    "cpp": ("#include", "std::", "auto ", "auto& ", "& ", "nullptr", "template <", "template<", "using namespace"),
+}
+
+
 def program_language(text: str) -> str:
     """python, java, cpp, braces where only braces tell, or nothing."""
-    score = {
-        "python": len(re.findall(r"^[ \t]*(?:async )?(?:def|elif|except|with|class|for|if|while|try|else)\b[^;{}\n]*:[ \t]*\r?$|\bself\b|\bNone\b|^[ \t]*(?:import \w+|from \w+ import)[^;\n]*\r?$", text, re.MULTILINE)),
-        "java": len(re.findall(r"\bfinal class\b|\bpublic (?:static|class|final)\b|\bthrow new\b|\bString \w+|\bstatic (?:int|void|String|long|double)\b|\bSystem\.|\bboolean\b|\bnew \w+Exception\b|^import java", text, re.MULTILINE)),
-        "cpp": len(re.findall(r"#include\b|\bstd::|\bauto[&*]? \w+|\bconst \w+[&*]? |\w+& \w+[,)]|\bnullptr\b|\btemplate ?<|\busing namespace\b", text)),
-    }
-    best = max(score, key=lambda k: score[k])
-    if score[best] and sum(v == score[best] for v in score.values()) == 1:
-        return best
-    return "braces" if truncation.braced(text) else "python" if re.search(r"^[ \t]*\w+ = [^;{}]+[^;{}\s]\r?$", text, re.MULTILINE) else ""
+    score = {lang: sum(map(text.count, cues)) for lang, cues in _CUES.items()}
+    if truncation.braced(text):
+        best = "java" if score["java"] > score["cpp"] else "cpp" if score["cpp"] > score["java"] else "braces"
+        return best if not re.search(r"^[ \t]*def \w+\(", text, re.MULTILINE) else "python"
+    if score["python"] and score["python"] >= max(score["java"], score["cpp"]) or re.search(r"^[ \t]*(?:\w+ = [^;{}]+[^;{}\s]|(?:def|for|if|while|with|class)\b[^;{}\n]*:|import \w+)[ \t]*\r?$", text, re.MULTILINE):
+        return "python"
+    return max(("java", "cpp"), key=lambda k: score[k]) if score["java"] != score["cpp"] else ""
 
 
 def natural_language(words: list[str]) -> tuple[str, float]:
@@ -111,7 +117,7 @@ def features(prompt: str, raw: str | None, clean: str | None, full: bool, unit:
     bare = _REMARK.sub("", bare) if not prose else ""
     lines = [x for x in bare.splitlines() if x.strip()]
     stubs = [x for x in lines if _STUB.fullmatch(x)]
-    acts = [x for x in lines if not _IDLE.fullmatch(x) and not _STUB.fullmatch(x)]
+    acts = [x for x in lines if " = " in x or not _IDLE.fullmatch(x) and not _STUB.fullmatch(x)]
     all_words = [w.lower() for w in re.findall(r"\w+", answer)]
     known, asked, ours = _prompt_facts(prompt)
     fresh = [w for w in all_words if w not in known]
