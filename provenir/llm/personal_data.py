@@ -51,18 +51,18 @@ GENERATORS = {
     "phone": [
         re.compile(r"\+\d{1,3}(?:[ .\-/]?\(\d{1,4}\))?(?:[ .\-/]?\d{1,8}){1,6}(?!\w)"),
         re.compile(r"\(\+?\d{2,5}\)[ .\-/]?\d{2,8}(?:[ .\-/]\d{2,6}){0,4}(?!\w)"),
-        re.compile(r"(?<![\w.,+\-(/])\d{2,5}(?:[ .\-/]\d{2,8}){1,5}(?!\w)(?!\.\d)"),
-        re.compile(r"(?<![\w.,+\-(/])0\d{8,12}(?!\w)"),
+        re.compile(r"\d(?<![\w.,+\-(/]\d)\d{1,4}(?:[ .\-/]\d{2,8}){1,5}(?!\w)(?!\.\d)"),
+        re.compile(r"0(?<![\w.,+\-(/]0)\d{8,12}(?!\w)"),
     ],
     "id_number": [
-        re.compile(r"(?<![\w\-.])\d{3}([- ])\d{2}\1\d{4}(?![\w\-])"),
-        re.compile(r"(?<![\w\-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z](?!\w)"),
-        re.compile(r"(?<![\w\-])\d{7,8}-?[A-Z](?!\w)"),
-        re.compile(r"(?<![\w\-.])\d{6,8}[-+]\d{4}(?![\w\-])"),
-        re.compile(r"(?<![\w\-.])\d{2}(?: \d{3}){3}(?![\w\-])"),
-        re.compile(r"(?<![\w\-])[A-Z]{1,3}\d{6,9}(?!\w)"),
-        re.compile(r"(?<![\w\-])[A-Z]{1,3}\d{0,4}(?:-\d{2,6}){1,4}(?![\w\-])"),
-        re.compile(r"(?<![\w\-.])\d{9,13}(?!\w)"),
+        re.compile(r"\d(?<![\w\-.]\d)\d{2}([- ])\d{2}\1\d{4}(?![\w\-])"),
+        re.compile(r"[A-Z](?<![\w\-][A-Z])[A-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-Z](?!\w)"),
+        re.compile(r"\d(?<![\w\-]\d)\d{6,7}-?[A-Z](?!\w)"),
+        re.compile(r"\d(?<![\w\-.]\d)\d{5,7}[-+]\d{4}(?![\w\-])"),
+        re.compile(r"\d(?<![\w\-.]\d)\d(?: \d{3}){3}(?![\w\-])"),
+        re.compile(r"[A-Z](?<![\w\-][A-Z])[A-Z]{0,2}\d{6,9}(?!\w)"),
+        re.compile(r"[A-Z](?<![\w\-][A-Z])[A-Z]{0,2}\d{0,4}(?:-\d{2,6}){1,4}(?![\w\-])"),
+        re.compile(r"\d(?<![\w\-.]\d)\d{8,12}(?!\w)"),
     ],
     "address": [
         re.compile(rf"(?:(?:Flat|Apt|Apartment|Unit|Suite)\.? \d+\w?,\s{{1,2}})?\d{{1,5}}[a-zA-Z]? (?:[{_UPPER}][\w'’-]*\.? ){{1,3}}{_EN_KIND}(?:,? (?:Apt|Apartment|Flat|Unit|Suite|#)\.? ?\d+\w?)?,\s{{1,2}}{_TOWN}(?:,? {_POST})?"),
@@ -93,6 +93,9 @@ _STARTERS = frozenset(
 _STARTERS |= frozenset("viele grüße saludos cordialement liebe kann wir im bei nach seit con tras conviene quelqu'un quelqu alguien escríbeme bitte merci le la les el die der das ein eine".split())
 _NOT_NAMES = frozenset("team bot release static analysis integration continuous software license version forest open source library module core data lake foundation everyone behaviour result reproduce below report street road avenue city university institute street department".split())
 
+_WITH_SIGN = [g for g in GENERATORS["email"] if "@" in g.pattern]
+_SPELLED = (" at ", "[at", "(at", "{at", "[ at", "( at", "{ at")
+
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _NUMBER = re.compile(r"\d+")
 
@@ -100,8 +103,12 @@ _NUMBER = re.compile(r"\d+")
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(begin, end, number of the type) of all spans that may hold personal information."""
     found = set()
+    low = text.lower()
+    spelled = "dot" in low and any(s in low for s in _SPELLED)
     for t, kind in enumerate(TYPES):
         for g in GENERATORS[kind]:
+            if kind == "email" and not ("@" in text if g in _WITH_SIGN else spelled):
+                continue  # the generator can't match
             for m in g.finditer(text):
                 b, e = m.span(1) if kind == "name" else m.span()
                 while kind == "email" and e > b and text[e - 1] in ".-'_":
