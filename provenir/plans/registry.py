@@ -50,10 +50,10 @@ def _rollup(spark: SparkSession, d: str) -> DataFrame:
     return rollup.file_rollup(table(spark, d, "source_files"), table(spark, d, "occurrences"))
 
 
-@query(f"""WITH {ROLLUP} SELECT snapshot_id, relative_path, file_key, dataset_source, repo_name, parse_status, physical_line_count, units, agc_units, tokens::BIGINT AS tokens, agc_tokens::BIGINT AS agc_tokens, warnings, round(mean_score, 6) AS mean_score, status,
+@query(f"""WITH {ROLLUP} SELECT snapshot_id, relative_path, file_key, dataset_source, repo_name, parse_status, physical_line_count, units, agc_units, tokens::BIGINT AS tokens, agc_tokens::BIGINT AS agc_tokens, warnings, round(mean_score, 10) AS mean_score, status,
 round(count_share, 6) AS count_share, round(weighted_share, 6) AS weighted_share, CASE WHEN status = 'scored' THEN CASE WHEN weighted_share > 0.5 THEN 1 ELSE 0 END END AS selected FROM rolled""")
 def file_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_rollup(spark, d), "mean_score", "count_share", "weighted_share")
+    return rounded(rounded(_rollup(spark, d), "count_share", "weighted_share"), "mean_score", digits=10)
 
 
 @query(f"""WITH {ROLLUP}, s AS (SELECT dataset_source, weighted_share, threshold FROM rolled, (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75)) t(threshold) WHERE status = 'scored')
