@@ -77,7 +77,7 @@ lparam: NAME | NAME '=' expr | '/' | '*' | '*' NAME | '**' NAME
 suite: simple | NEWLINE INDENT stmt+ DEDENT
 match: MATCH stars ':' NEWLINE INDENT case+ DEDENT
 case: CASE patterns guard? ':' suite
-guard: 'if' expr
+guard: GUARD expr
 patterns: pattern | patterns ',' pattern | patterns ','
 pattern: star | expr 'as' NAME
 expr: expr 'if' expr 'else' expr | 'lambda' ':' expr %prec 'lambda' | 'lambda' lparams ':' expr %prec 'lambda' | NAME ':=' expr

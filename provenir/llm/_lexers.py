@@ -37,6 +37,7 @@ def python_tokens(text: str) -> tuple[list[str], list[int]]:
     at: list[int] = []
     indents = [(0, 0)]
     depth, fresh, begin, first = 0, True, 0, 0
+    opened, case, cases = False, False, set()  # a match begins; this is a case; depths of indents that hold cases
     if text.startswith("﻿"):
         begin = 1
     for m in _PYTHON.finditer(text, begin):
@@ -47,10 +48,8 @@ def python_tokens(text: str) -> tuple[list[str], list[int]]:
             if not depth and not fresh:
                 out.append("NEWLINE")
                 at.append(start)
-                if out[-2] == ":" and out[first] == "NAME" and text.startswith(("match", "case"), at[first]) and len(out) - first > 3:
-                    word = re.match(r"\w+", text[at[first] : at[first] + 8]).group()
-                    if word in ("match", "case") and out[first + 1] not in ("=", ".", ",", ":", ")"):
-                        out[first] = word.upper()
+                if out[-2] == ":" and out[first] == "NAME" and len(out) - first > 3 and re.match(r"match\b", text[at[first] : at[first] + 6]) and out[first + 1] not in ("=", ".", ",", ":", ")"):
+                    out[first], opened = "MATCH", True
                 fresh = True
             continue
         if fresh and not depth:
@@ -61,6 +60,8 @@ def python_tokens(text: str) -> tuple[list[str], list[int]]:
             if width != indents[-1]:
                 if width[0] > indents[-1][0]:
                     indents.append(width)
+                    if opened:
+                        cases.add(len(indents))
                     out.append("INDENT")
                     at.append(start)
                 else:
@@ -70,14 +71,20 @@ def python_tokens(text: str) -> tuple[list[str], list[int]]:
                         at.append(start)
                 if width != indents[-1]:
                     return [*out, BAD], [*at, start]
-            first = len(out)
+            cases = {c for c in cases if c <= len(indents)}
+            first, opened = len(out), False
+            case = len(indents) in cases and value == "case"
+            if case:
+                out.append("CASE")
+                at.append(start)
+                continue
         if kind == "name" or kind == "quote":
             if kind == "quote":
                 if value.lower() in _PREFIXES:
                     continue  # the string follows
                 out.append(BAD)
             elif value in PYTHON_WORDS:
-                out.append(value)
+                out.append("GUARD" if case and not depth and value == "if" else value)
             else:
                 out.append("NAME")
         elif kind == "op":
@@ -112,6 +119,7 @@ _C_LIKE = r"""
     (?P<name>[^\W\d][\w$]*|\$[\w$]*)
   | (?P<blank>\s+)
   | (?P<comment>//[^\r\n]*|/\*(?:[^*]|\*(?!/))*+\*/)
+  | (?P<unclosed>/\*)
   | (?P<number>(?:0[xX][0-9a-fA-F_']+(?:\.[0-9a-fA-F]*)?(?:[pP][+-]?\d+)?|0[bB][01_']+|(?:\d[\d_']*\.?[\d_']*|\.\d[\d_']*)(?:[eE][+-]?\d+)?)[fFdDlLuUzZ]*)(?P<tail>[\w$]*)
 """
 _JAVA = re.compile(
@@ -161,7 +169,7 @@ def _type_arguments(out: list[str], starts: frozenset[str]) -> None:
                 opened.clear()
         elif s == ">" and opened:
             out[opened.pop()], out[i] = "LT", "GT"
-        elif opened and s not in _TYPE_ARGUMENT and s not in ("LT", "GT", "="):
+        elif opened and (s not in _TYPE_ARGUMENT and s not in ("LT", "GT", "=") or s == "NAME" and out[i - 1] in ("&&", "*")):
             opened.clear()
 
 

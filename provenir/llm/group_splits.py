@@ -198,7 +198,7 @@ def p6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per bucket (null for all) and split: records, their share of the bucket, and the target."""
     records = _checkpoints(spark, sf_dir)
-    targets = table(spark, sf_dir, "split_targets")
+    targets = table(spark, sf_dir, "split_targets").select("split", "target_share")
     rows = records.where("line_no is not null and tag is not null").groupBy("line_no", "tag").agg(F.min(F.coalesce("bucket", F.lit("none"))).alias("bucket"))
     placed = rows.join(assign_splits(records, targets), "line_no")
     cube = placed.groupingSets([["split"], ["bucket", "split"]], "bucket", "split").agg(F.count("*").alias("records"))

@@ -177,6 +177,6 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = cut(_mixed(spark, sf_dir), "p9-used")
     by_source = used.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
     whole = by_source.agg(F.sum("tokens")).first()[0] or 0
-    targets = table(spark, sf_dir, "mix_targets").where("source is not null")
+    targets = table(spark, sf_dir, "mix_targets").where("source is not null").select("source", "target_share", "max_repeats")
     return targets.join(by_source, "source", "left").select(
         "source", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("tokens", F.lit(0)) / F.lit(float(whole) or 1.0)).alias("share"), "target_share", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "max_repeats")

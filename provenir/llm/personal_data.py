@@ -42,11 +42,11 @@ _ANY = rf"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
 
 GENERATORS = {
     "email": [
-        re.compile(r"[\w.+%'-]+@[\w-]+(?:\.[\w-]+)+"),
-        re.compile(r"[\w.+%'-]+\s?[\[({]\s?at\s?[\])}]\s?[\w-]+(?:\s?[\[({]\s?dot\s?[\])}]\s?[\w-]+)+", re.IGNORECASE),
-        re.compile(r"[\w.+%'-]+ (?:AT|at) [\w-]+(?: (?:DOT|dot) [\w-]+)+"),
-        re.compile(r"[\w.+%'-]+@[\w-]+(?:\s?(?:[\[({]dot[\])}]|\bdot\b)\s?[\w-]+)+", re.IGNORECASE),
-        re.compile(r"[\w.+-]+@[\w-]+"),
+        re.compile(r"(?<![\w.+%'-])[\w.+%'-]++@[\w-]+(?:\.[\w-]+)+"),
+        re.compile(r"(?<![\w.+%'-])[\w.+%'-]++\s?[\[({]\s?at\s?[\])}]\s?[\w-]+(?:\s?[\[({]\s?dot\s?[\])}]\s?[\w-]+)+", re.IGNORECASE),
+        re.compile(r"(?<![\w.+%'-])[\w.+%'-]++ (?:AT|at) [\w-]+(?: (?:DOT|dot) [\w-]+)+"),
+        re.compile(r"(?<![\w.+%'-])[\w.+%'-]++@[\w-]+(?:\s?(?:[\[({]dot[\])}]|\bdot\b)\s?[\w-]+)+", re.IGNORECASE),
+        re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]+"),
     ],
     "phone": [
         re.compile(r"\+\d{1,3}(?:[ .\-/]?\(\d{1,4}\))?(?:[ .\-/]?\d{1,8}){1,6}(?!\w)"),

@@ -72,7 +72,7 @@ def is_prose(text: str) -> bool:
     words = len(re.findall(r"[^\W\d_]{2,}", text))
     if words < 3 or sum(map(plain.count, "=(){};[]<>")) + plain.count(":\n") > 0.12 * words:
         return False
-    return not re.search(r"^\s*(?:def|class|return|import|from|#include|if|for|while|try|with)\b.*[:;{)]\s*$", text, re.MULTILINE)
+    return not re.search(r"^[ \t]*(?:def|class|return|import|from|#include|if|for|while|try|with)\b.*[:;{)][ \t]*\r?$", text, re.MULTILINE)
 
 
 _OPENS = re.compile(r"(?:\)|\belse|\btry|\bdo|\b(?:class|struct|interface|enum|namespace)\b[^=]*|\bconst|\bnoexcept|\boverride)[ \t]*\{\Z")
