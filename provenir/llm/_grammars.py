@@ -6,11 +6,6 @@ decide, as for an assignment's left side.
 """
 
 PYTHON = r"""
-%nonassoc LOW
-%right ':='
-%right 'lambda'
-%nonassoc 'if'
-%nonassoc 'else'
 %left 'or'
 %left 'and'
 %right 'not'
@@ -45,7 +40,7 @@ dot: '.' | '...'
 aliases: NAME as? | aliases ',' NAME as?
 stars: starlist | starlist ','
 starlist: star | starlist ',' star
-star: expr | '*' expr %prec UNARY
+star: expr | '*' test %prec UNARY
 yield: 'yield' | 'yield' stars | 'yield' 'from' expr
 compound: 'if' expr ':' suite elif* else? | 'while' expr ':' suite else? | for | 'async' for | with | 'async' with
   | 'try' ':' suite except+ else? finally? | 'try' ':' suite finally | def | decorators def | class | decorators class | match
@@ -80,18 +75,18 @@ case: CASE patterns guard? ':' suite
 guard: GUARD expr
 patterns: pattern | patterns ',' pattern | patterns ','
 pattern: star | expr 'as' NAME
-expr: expr 'if' expr 'else' expr | 'lambda' ':' expr %prec 'lambda' | 'lambda' lparams ':' expr %prec 'lambda' | NAME ':=' expr
-  | expr 'or' expr | expr 'and' expr | 'not' expr | expr '<' expr | expr '>' expr | expr '==' expr | expr '!=' expr | expr '<=' expr | expr '>=' expr
-  | expr 'in' expr | expr 'not' 'in' expr %prec 'in' | expr 'is' expr | expr 'is' 'not' expr %prec 'is'
-  | expr '|' expr | expr '^' expr | expr '&' expr | expr '<<' expr | expr '>>' expr | expr '+' expr | expr '-' expr
-  | expr '*' expr | expr '/' expr | expr '//' expr | expr '%' expr | expr '@' expr
-  | '+' expr %prec UNARY | '-' expr %prec UNARY | '~' expr %prec UNARY | expr '**' expr | 'await' expr | atomic
+expr: test | test 'if' test 'else' expr | 'lambda' ':' expr | 'lambda' lparams ':' expr | NAME ':=' expr
+test: test 'or' test | test 'and' test | 'not' test | test '<' test | test '>' test | test '==' test | test '!=' test | test '<=' test | test '>=' test
+  | test 'in' test | test 'not' 'in' test %prec 'in' | test 'is' test | test 'is' 'not' test %prec 'is'
+  | test '|' test | test '^' test | test '&' test | test '<<' test | test '>>' test | test '+' test | test '-' test
+  | test '*' test | test '/' test | test '//' test | test '%' test | test '@' test
+  | '+' test %prec UNARY | '-' test %prec UNARY | '~' test %prec UNARY | test '**' test | 'await' test | atomic
 atomic: NAME | NUMBER | strings | 'None' | 'True' | 'False' | '...' | atomic '.' NAME | atomic '(' args? ')' | atomic '[' subs ']'
   | '(' ')' | '(' rhs ')' | '(' comp ')' | '[' ']' | '[' stars ']' | '[' comp ']' | '{' '}' | '{' stars '}' | '{' comp '}' | '{' pairs '}' | '{' pairs ',' '}' | '{' pair compfor+ '}'
 strings: STRING+
 comp: star compfor+
-compfor: 'for' stars_in 'in' expr compif* %prec LOW | 'async' 'for' stars_in 'in' expr compif* %prec LOW
-compif: 'if' expr %prec LOW
+compfor: 'for' stars_in 'in' test compif* | 'async' 'for' stars_in 'in' test compif*
+compif: 'if' test
 pairs: pair | pairs ',' pair
 pair: expr ':' expr | '**' expr
 args: alist | alist ',' | comp
