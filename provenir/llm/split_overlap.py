@@ -115,19 +115,21 @@ def overlapping(records: DataFrame, train: str = "train") -> tuple[DataFrame, Da
     sides = members.groupBy("doc").agg(F.max("in_train").alias("train"), F.max(~F.col("in_train")).alias("held"))
     docs = cut(rows.select("doc", "text").mapInArrow(_chunks, _CHUNKED).dropDuplicates(["doc"]).join(sides, "doc"), "p1-chunks")
 
-    chunks = docs.select("doc", "tokens", "train", "held", F.explode(F.arrays_zip("digests", "lengths")).alias("c")).select("doc", "tokens", "train", "held", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
-    df = chunks.groupBy("digest").agg(F.count("*").alias("df"), F.max("train").alias("t"), F.max("held").alias("h")).where("t and h and df > 1").select("digest", "df")
+    # 8 bytes stand for a text in the index; texts that should share them are told apart when they are measured
+    short = F.xxhash64("doc").alias("id")
+    chunks = docs.select(short, "tokens", "train", "held", F.explode(F.arrays_zip("digests", "lengths")).alias("c")).select("id", "tokens", "train", "held", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
+    df = chunks.groupBy("digest").agg(F.count("*").cast("int").alias("df"), F.max("train").alias("t"), F.max("held").alias("h")).where("t and h and df > 1").select("digest", "df")
     shared = chunks.join(df, "digest")
-    before = Window.partitionBy("doc").orderBy(F.desc("df"), "digest").rowsBetween(Window.unboundedPreceding, 0)
-    kept = cut(shared.withColumn("so_far", F.sum("length").over(before)).where(F.col("so_far") > DROP * F.col("tokens")).select("doc", "tokens", "train", "held", "digest", "length"), "p1-kept")
-    t = kept.where("train").select("digest", F.col("doc").alias("train"), F.col("tokens").alias("n"), F.col("length").alias("l"))
-    h = kept.where("held").select("digest", F.col("doc").alias("held"), F.col("tokens").alias("m"), F.col("length").alias("k"))
-    pairs = t.join(h, "digest").where("train <> held").groupBy("train", "held", "n", "m").agg(F.sum(F.least("l", "k")).alias("common"))
-    pairs = cut(pairs.where(F.col("common") >= (MIN_OVERLAP - DROP) * F.greatest("n", "m")).select("train", "held"), "p1-pairs")
-
-    needed = pairs.select(F.explode(F.array("train", "held")).alias("doc")).distinct()
-    texts = cut(rows.select("doc", "text").join(needed, "doc", "left_semi").dropDuplicates(["doc"]), "p1-texts")
-    both = pairs.join(texts.withColumnsRenamed({"doc": "train", "text": "text_train"}), "train").join(texts.withColumnsRenamed({"doc": "held", "text": "text_held"}), "held")
+    before = Window.partitionBy("id").orderBy(F.desc("df"), "digest").rowsBetween(Window.unboundedPreceding, 0)
+    kept = cut(shared.withColumn("so_far", F.sum("length").over(before)).where(F.col("so_far") > DROP * F.col("tokens")).select("id", "tokens", "train", "held", "digest", "length"), "p1-kept")
+    t = kept.where("train").select("digest", F.col("id").alias("a"), F.col("tokens").alias("n"), F.col("length").alias("l"))
+    h = kept.where("held").select("digest", F.col("id").alias("b"), F.col("tokens").alias("m"), F.col("length").alias("k"))
+    pairs = t.join(h, "digest").where("a <> b").groupBy("a", "b", "n", "m").agg(F.sum(F.least("l", "k")).alias("common"))
+    pairs = cut(pairs.where(F.col("common") >= (MIN_OVERLAP - DROP) * F.greatest("n", "m")).select("a", "b").distinct(), "p1-pairs")
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = cut(rows.select(short, "doc", "text").join(needed, "id", "left_semi").dropDuplicates(["doc"]), "p1-texts")
+    both = pairs.join(texts.withColumnsRenamed({"id": "a", "doc": "train", "text": "text_train"}), "a").join(texts.withColumnsRenamed({"id": "b", "doc": "held", "text": "text_held"}), "b").drop("a", "b")
     found = spread(both).mapInArrow(_measure, "train binary, held binary, train_overlap double, held_overlap double, likeness double")
     return members, cut(found.where(F.greatest("train_overlap", "held_overlap") >= MIN_OVERLAP), "p1-found")
 
