@@ -119,3 +119,78 @@ def dedented(source: str) -> str:
         pass
     lines = source.splitlines(keepends=True)
     return "".join(x if i in inside or x[:indent].strip() else x[indent:] for i, x in enumerate(lines, 1))
+
+
+def blocks(code: str | None) -> list[dict]:
+    """Top-level functions and classes with their kind, name and lines, decorators included; none for what doesn't parse."""
+    try:
+        tree = _parse(code or "")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    kinds = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.ClassDef: "class"}
+    return [
+        {"kind": kinds[type(n)], "name": n.name, "start_line": min([n.lineno, *(d.lineno for d in n.decorator_list)]), "end_line": n.end_lineno}
+        for n in tree.body
+        if type(n) in kinds
+    ]
+
+
+def syntax_sequence(code: str | None) -> list[str]:
+    """Node types in pre-order, inner nodes opened and closed, names and constants as they are; our own form of a parse tree as tokens."""
+    try:
+        tree = _parse(code or "")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    out: list[str] = []
+    stack: list = [tree]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+            continue
+        children = list(ast.iter_child_nodes(n))
+        kind = type(n).__name__
+        leaf = getattr(n, "id", None) or getattr(n, "arg", None) or (repr(n.value) if isinstance(n, ast.Constant) else None)
+        if not children:
+            out.append(str(leaf) if leaf is not None else kind)
+        else:
+            out.append(f"{kind}::left")
+            stack.append(f"{kind}::right")
+            stack.extend(reversed(children))
+    return out
+
+
+def canonical_json(value: dict) -> str:
+    """JSON with sorted keys, no blanks and only ASCII, nulls kept."""
+    import json
+
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+
+
+def with_blocks(df: DataFrame, code: str) -> DataFrame:
+    """One row per top-level block of each source, the code column dropped."""
+    keep = [f for f in df.schema.fields if f.name != code]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [blocks(c) for c in batch.column(code).to_pylist()]
+            rows = pa.array([i for i, b in enumerate(found) for _ in b], pa.int64())
+            flat = [(k, x) for b in found for k, x in enumerate(b)]
+            part = batch.take(rows)
+            made = [pa.array([k for k, _ in flat], pa.int32()), *(pa.array([x[c] for _, x in flat], t) for c, t in (("kind", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())))]
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), *made], [*(f.name for f in keep), "block_idx", "kind", "name", "start_line", "end_line"])
+
+    return df.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "block_idx int, kind string, name string, start_line int, end_line int"]))
+
+
+def with_digest(df: DataFrame, columns: list[str], out: str) -> DataFrame:
+    """df with the SHA-256 of the columns' canonical JSON; bit for bit what Python's own JSON gives, which to_json isn't."""
+    import hashlib
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.select(columns).to_pylist()
+            made = pa.array([hashlib.sha256(canonical_json(r).encode()).hexdigest() for r in rows])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, out])
+
+    return df.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{out} string"]))

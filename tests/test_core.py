@@ -195,3 +195,21 @@ def test_streamed_windows_equal_the_batch(spark, tmp_path):
     stream = rollups.stream_table(spark, str(tmp_path / "in"), rows.schema)
     rollups.run_once(rollups.events_by_window(stream, "at", ["repo_name"]), "windows", "update")
     assert sorted((r["events"], r["added"]) for r in spark.table("windows").collect()) == [(1, 1), (2, 1)]
+
+
+def test_positional_match_with_fallback(spark):
+    from provenir.operators import matching
+
+    blocks = spark.createDataFrame([("f", 0, "a"), ("f", 1, "b"), ("f", 2, "c"), ("f", 3, "c"), ("f", 4, "z")], "file string, block_idx int, name string")
+    truth = spark.createDataFrame([("f", 0, "a", "human"), ("f", 1, "c", "lm"), ("f", 2, "b", "human"), ("f", 3, "c", "human")], "file string, block_idx int, name string, label string")
+    got = {r["block_idx"]: (r["truth_idx"], r["match"]) for r in matching.positional(blocks, truth).collect()}
+    assert got == {0: (0, "position"), 1: (2, "name"), 2: (1, "name"), 3: (3, "position"), 4: (None, None)}
+    ranges = spark.createDataFrame([("f", 1, 1, 20), ("f", 2, 2, 10), ("f", 3, 3, 5)], "file string, k int, start_line int, end_line int")
+    assert {r["k"]: r["outer"] for r in matching.enclosing(ranges, ["file"], "k").collect()} == {2: 1, 3: 2}
+
+
+def test_blocks_and_canonical_json():
+    found = code.blocks("import x\n@d\ndef f():\n    pass\n\nclass A:\n    def g(self): pass\n")
+    assert [(b["name"], b["kind"], b["start_line"], b["end_line"]) for b in found] == [("f", "function", 2, 4), ("A", "class", 6, 7)] and code.blocks("def (") == []
+    assert code.canonical_json({"b": None, "a": "é"}) == '{"a":"\\u00e9","b":null}'
+    assert code.syntax_sequence("x = 1\n")[0] == "Module::left" and code.syntax_sequence("x = 1\n")[-1] == "Module::right" and "1" in code.syntax_sequence("x = 1\n")
