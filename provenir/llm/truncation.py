@@ -209,7 +209,7 @@ def ending(text: str | None, header: str = "") -> tuple[str, str, bool]:
         return "answer", "marked", False
     unit, kind, rest = units(text)
     body = text.rstrip("\r\n")
-    if _CUT_MARK.search(text) or re.search(r"[^\s.]\.\.\.\s*\Z", text) and kind == "code" and body.splitlines()[-1].strip() != "...":
+    if _CUT_MARK.search(text) or re.search(r"[^\s.]\.\.\.\s*\Z", text):
         if unit == "answer" and kind == "code" and not braced(rest) and _python_after(rest) >= 0:
             unit = "after"
         return unit, "mark", True
@@ -240,7 +240,7 @@ def ending(text: str | None, header: str = "") -> tuple[str, str, bool]:
     if s["braces"]:
         if s["open_statement"]:
             return unit, "braces statement", True
-        return unit, f"braces {tail} {max(-3, min(3, s['net']))}", False
+        return unit, f"braces {tail} {max(-3, min(3, s['net']))}{' deep' if s['indent'] else ''}", False
     deep = s["indent"] > s["base"] if unit == "answer" or lead in ("return", "raise") and s["base"] else s["indent"] > 4
     if tail == ":" and _HEADER.match(lead):
         return unit, "python header", True
