@@ -134,3 +134,34 @@ def length_bin(tokens: Column | str) -> Column:
 def byte_offset(text: Column | str, chars: Column) -> Column:
     """UTF-8 bytes before a character offset."""
     return F.octet_length(F.substring(_c(text), F.lit(1), chars.cast("int")))
+
+
+def last_split(value: Column | str, mark: str = "__") -> tuple[Column, Column]:
+    """What stands before and after the last mark; null after it where there is none."""
+    v = _c(value)
+    pattern = rf"(?s)^(.*){mark}(.*)$"
+    return F.when(v.rlike(pattern), F.regexp_extract(v, pattern, 1)).otherwise(v), F.when(v.rlike(pattern), F.regexp_extract(v, pattern, 2))
+
+
+def short_run(value: Column | str) -> Column:
+    """A run's name before the size that follows it: text before the first _<number>_."""
+    return F.regexp_extract(_c(value), r"^(.*?)(?:_\d+_.*)?$", 1)
+
+
+def first_key(value: Column | str, keys: list[str]) -> Column:
+    """The first of the keys that the value holds, case aside, else null."""
+    v, out = F.lower(_c(value)), None
+    for k in keys:
+        out = (F if out is None else out).when(F.contains(v, F.lit(k.lower())), k)
+    return out if out is not None else F.lit(None).cast("string")
+
+
+def sample_id(*parts: Column | str) -> Column:
+    """The parts that aren't null, joined by underscores."""
+    return F.concat_ws("_", *[_c(p).cast("string") for p in parts])
+
+
+def few_shot_prompt(head: str, examples: Column | str, question: Column | str) -> Column:
+    """A prompt from a head, an array of (input, output) examples and a question."""
+    shots = F.transform(_c(examples), lambda e: F.concat(F.lit("Input:\n"), e["input"], F.lit("\nOutput: "), e["output"].cast("string")))
+    return F.concat_ws("\n\n", F.lit(head), shots, F.concat(F.lit("Input:\n"), _c(question), F.lit("\nOutput:")))

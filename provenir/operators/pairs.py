@@ -92,3 +92,9 @@ def equal_bins(rows: DataFrame, order: list[str], bins: int, out: str) -> DataFr
     n = placed.count()
     inner = [1 + (n - 1) * k / bins for k in range(1, bins)]
     return placed.withColumn(out, sum((F.when(F.col("_rank") > e, 1).otherwise(0) for e in inner), F.lit(0))).drop("_rank")
+
+
+def referenced(rows: DataFrame, key: str, ids: DataFrame, one: str, other: str) -> DataFrame:
+    """The rows that either side of a table of id pairs names, each once."""
+    wanted = ids.select(F.col(one).alias(key)).union(ids.select(F.col(other).alias(key))).distinct()
+    return rows.join(wanted, key, "left_semi")

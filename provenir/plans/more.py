@@ -172,3 +172,18 @@ def size_classifier(spark: SparkSession, d: str) -> DataFrame:
     stages = [VectorAssembler(inputCols=["lines", "words", "spaces", "chars"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True), MultilayerPerceptronClassifier(layers=[4, 8, 2], maxIter=40, seed=1)]
     model = Pipeline(stages=stages).fit(rows.where("split = 'train'"))
     return model.transform(rows.where("split = 'test'")).select("idx", F.col("label").cast("int").alias("truth"), vector_to_array("probability")[1].alias("score"))
+
+
+@query(r"""SELECT idx, regexp_extract(model, '^(.*?)(?:_\d+_.*)?$', 1) AS short, CASE WHEN contains(lower(model), 'quill') THEN 'quill' WHEN contains(lower(model), 'moss') THEN 'moss' WHEN contains(lower(model), 'tarn') THEN 'tarn' END AS family, concat_ws('_', idx, split, label) AS sample_id FROM code_pairs""")
+def run_names(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "code_pairs")
+    return p.select("idx", text.short_run("model").alias("short"), text.first_key("model", ["quill", "moss", "tarn"]).alias("family"), text.sample_id("idx", "split", "label").alias("sample_id"))
+
+
+@query()
+def code_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct keywords and operators over the tokens of each valid Python answer."""
+    from provenir.plans.registry import code_analysis
+
+    rows = code_analysis(spark, d).where("ok and tokens > 0")
+    return rows.select("line_no", "tag", (F.size("keywords") / F.col("tokens")).alias("keyword_ratio"), (F.size("operators") / F.col("tokens")).alias("operator_ratio"))

@@ -97,3 +97,17 @@ def chat_lines(df: DataFrame, question: str, answer: str, system: str) -> DataFr
     """Fine-tuning lines: system, user and assistant messages as one JSON object."""
     said = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return df.select(F.to_json(F.struct(F.array(said("system", F.lit(system)), said("user", F.col(question)), said("assistant", F.col(answer))).alias("messages"))).alias("value"))
+
+
+def csv_files(spark: SparkSession, root: str, without: tuple[str, ...] = ("_manifest.csv", "_candidate_report.csv")) -> list[str]:
+    """All .csv files below a folder but those whose names end so."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path")
+    return sorted(r["path"] for r in found.collect() if not r["path"].endswith(without))
+
+
+def read_blocks(spark: SparkSession, summary: str, folder: str, schema: T.StructType, truth: list[str], pred: list[str]) -> DataFrame:
+    """The summary file where it is at the level of blocks (has a truth and a prediction column), else the TSV files of the folder."""
+    head = spark.read.option("header", True).csv(summary)
+    if pick_column(head, truth) and pick_column(head, pred):
+        return read_csv(spark, summary, schema)
+    return read_tsv_directory(spark, folder, schema, truth, pred)

@@ -213,3 +213,27 @@ def test_blocks_and_canonical_json():
     assert [(b["name"], b["kind"], b["start_line"], b["end_line"]) for b in found] == [("f", "function", 2, 4), ("A", "class", 6, 7)] and code.blocks("def (") == []
     assert code.canonical_json({"b": None, "a": "é"}) == '{"a":"\\u00e9","b":null}'
     assert code.syntax_sequence("x = 1\n")[0] == "Module::left" and code.syntax_sequence("x = 1\n")[-1] == "Module::right" and "1" in code.syntax_sequence("x = 1\n")
+
+
+def test_names_and_prompts(spark):
+    row = spark.createDataFrame([("a__b__c", "m_4500_x", [("q", 1)], "z")], "v string, r string, e array<struct<input:string,output:int>>, q string")
+    before, after = text.last_split("v")
+    got = row.select(before.alias("a"), after.alias("b"), text.short_run("r").alias("s"), text.first_key("v", ["x", "B"]).alias("k"), text.sample_id("v", "r").alias("i"), text.few_shot_prompt("H", "e", "q").alias("p")).first()
+    assert tuple(got) == ("a__b", "c", "m", "B", "a__b__c_m_4500_x", "H\n\nInput:\nq\nOutput: 1\n\nInput:\nz\nOutput:")
+
+
+def test_block_results_prefer_the_summary(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    shape = T.StructType([T.StructField("truth_label", T.StringType()), T.StructField("pred_label", T.StringType()), T.StructField("score", T.DoubleType())])
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.tsv").write_text("truth_label\tpred_label\tscore\nhuman\tlm\t0.5\n")
+    (tmp_path / "t" / "b.tsv").write_text("other\nx\n")
+    (tmp_path / "s.csv").write_text("dir,files\nx,1\n")
+    (tmp_path / "t" / "k_manifest.csv").write_text("a\n1\n")
+    (tmp_path / "t" / "k.csv").write_text("a\n1\n")
+    rows = readers.read_blocks(spark, str(tmp_path / "s.csv"), str(tmp_path / "t"), shape, ["truth", "truth_label"], ["pred_label"])
+    assert rows.count() == 1 and rows.first()["score"] == 0.5
+    assert [f.rsplit("/", 1)[1] for f in readers.csv_files(spark, str(tmp_path / "t"))] == ["k.csv"]
+    ids = spark.createDataFrame([("x", "y"), ("x", "z")], "a string, b string")
+    assert {r["k"] for r in pairs.referenced(spark.createDataFrame([("x",), ("w",), ("z",)], "k string"), "k", ids, "a", "b").collect()} == {"x", "z"}
