@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from provenir.operators.metrics import auroc
-
 
 def matrix(cells: DataFrame, row: str, column: str, value: str, names: list[str]) -> DataFrame:
     """Long cells as one row per row name and one column per name given."""
@@ -53,18 +57,57 @@ def differences(rows: DataFrame, key: str, value: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.col("va") - F.col("vb")).alias("difference"))
 
 
-def bootstrap_weights(keys: DataFrame, key: str, draws: int, seed: str) -> DataFrame:
-    """(draw, key, weight): Poisson(1) weights from a seeded hash, so all conditions share a draw's weights; zeros are left out."""
+def bootstrap_weights(keys: np.ndarray, first: int, draws: int) -> np.ndarray:
+    """Poisson(1) weights of the 64-bit keys (rows) in draws first to first + draws - 1, by SplitMix64 of key and draw; one key has one weight in a draw, whatever the condition."""
+    z = keys.astype(np.uint64)[:, None] + np.arange(first, first + draws, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
     steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)  # Fixed values: the Poisson(1) distribution.
-    u = F.conv(F.substring(F.sha2(F.concat_ws("\u0000", F.lit(seed), F.col("draw").cast("string"), F.col(key)), 256), 1, 8), 16, 10).cast("double") / float(16**8)
-    w = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    return keys.select(key, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("weight", w).where("weight > 0")
-
-
-def bootstrap_auroc(rows: DataFrame, by: list[str], cluster: str, draws: int, seed: str) -> DataFrame:
-    """Weighted AUROC per group and draw; all rows of a cluster share its weight. null where a draw lacks a class."""
-    weights = bootstrap_weights(rows.select(cluster).distinct(), cluster, draws, seed)
-    return auroc(rows.join(weights, cluster), [*by, "draw"], "weight").select(*by, "draw", "auroc")
+    out = np.zeros(u.shape, np.uint8)
+    for s in steps:
+        out += u >= np.uint32(s * 2**32)
+    return out
+
+
+def bootstrap_auroc(rows: DataFrame, by: list[str], cluster: str, draws: int, seed: str, block: int = 1000) -> DataFrame:
+    """Weighted AUROC per group and draw; all rows of a cluster share its weight. null where a draw lacks a class.
+
+    A task has one group and one block of draws. It goes over the rows in batches and
+    keeps the weights summed per distinct score, so no draw of a row is ever shuffled.
+    """
+    shape = T.StructType([rows.schema[c] for c in by] + [T.StructField("draw", T.IntegerType()), T.StructField("auroc", T.DoubleType())])
+    arrow = to_arrow_schema(shape)
+
+    def drawn(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = key[-1].as_py() * block + 1
+        n = min(block, draws - first + 1)
+        place: dict[float, int] = {}
+        sums = [np.zeros((64, n), np.int64), np.zeros((64, n), np.int64)]
+        for batch in batches:
+            keys, scores, truth = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "score", "truth"))
+            order = np.lexsort((truth, scores))
+            for i in range(0, len(order), 64):
+                at = order[i : i + 64]
+                x, t = scores[at], truth[at]
+                starts = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (t[1:] != t[:-1])])
+                for k, total in zip(starts, np.add.reduceat(bootstrap_weights(keys[at], first, n), starts, axis=0, dtype=np.int64)):
+                    j = place.setdefault(float(x[k]), len(place))
+                    if j >= len(sums[0]):
+                        sums = [np.concatenate([m, np.zeros_like(m)]) for m in sums]
+                    sums[int(t[k])][j] += total
+        up = [place[x] for x in sorted(place)]
+        neg, pos = (m[up] for m in sums)
+        both = (pos.sum(0) * neg.sum(0)).astype(float)
+        area = (pos * (np.cumsum(neg, 0) - neg / 2)).sum(0)
+        found = pa.array(np.divide(area, both, out=np.zeros(n), where=both > 0), mask=both == 0)
+        same = [pa.array([k.as_py()] * n, arrow.field(c).type) for c, k in zip(by, key)]
+        yield pa.RecordBatch.from_arrays([*same, pa.array(range(first, first + n), pa.int32()), found], schema=arrow)
+
+    kept = rows.where(F.col(cluster).isNotNull() & F.col("score").isNotNull() & F.col("truth").isNotNull())
+    key = F.xxhash64(F.lit(seed), F.col(cluster).cast("string")).alias("_key")
+    spread = kept.select(*by, key, F.col("score").cast("double").alias("score"), F.col("truth").cast("int").alias("truth"), F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // block))).alias("_block"))
+    return spread.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *by, "_block").groupBy(*by, "_block").applyInArrow(drawn, shape)
 
 
 def intervals(draws: DataFrame, by: list[str], value: str, alpha: float = 0.05) -> DataFrame:

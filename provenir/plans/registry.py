@@ -145,6 +145,9 @@ def roc_curve(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.roc_curve(_scored(spark, d), ["model_key"]), "fpr", "tpr")
 
 
+#: Draws of a bootstrap, the reference's default.
+DRAWS = 20_000
+
 SWEEP = f"""{SCORED}, st AS (SELECT quantile_cont(score, 0.5) AS m, stddev_pop(score) AS s FROM scored), grid AS (SELECT m - 1.5 * s + 2 * 1.5 * s * i / 40 AS threshold FROM st, range(41) t(i)),
 cells AS (SELECT model_key, threshold, count(*) FILTER (truth = 1 AND score >= threshold) AS tp, count(*) FILTER (truth = 0 AND score >= threshold) AS fp, count(*) FILTER (truth = 1 AND score < threshold) AS fn, count(*) FILTER (truth = 0 AND score < threshold) AS tn FROM scored, grid WHERE score IS NOT NULL AND truth IS NOT NULL GROUP BY 1, 2),
 pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0) AS r1, coalesce(tn / nullif(tn + fn, 0), 0) AS p0, coalesce(tn / nullif(tn + fp, 0), 0) AS r0 FROM cells),
@@ -180,7 +183,7 @@ run AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY model_key, draw ORDER BY sc
 auc AS (SELECT model_key, draw, sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0) AS auroc FROM run GROUP BY 1, 2)
 SELECT model_key, count(*) AS draws, round(avg(auroc), 6) AS mean, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.5), 6) AS median, round(quantile_cont(auroc, 0.975), 6) AS high, round(least(1.0, 2 * least(avg((auroc >= 0.5)::INT), avg((auroc <= 0.5)::INT))), 6) AS p_value FROM auc WHERE auroc IS NOT NULL GROUP BY 1""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    draws = selection.bootstrap_auroc(_scored(spark, d), ["model_key"], "pair_id", 20, "boot")
+    draws = selection.bootstrap_auroc(_scored(spark, d), ["model_key"], "pair_id", DRAWS, "boot")
     return rounded(selection.intervals(draws, ["model_key"], "auroc"), "mean", "low", "median", "high", "p_value")
 
 
@@ -483,7 +486,7 @@ def transfer_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def draw_summary(spark: SparkSession, d: str) -> DataFrame:
-    draws = selection.bootstrap_auroc(_scored(spark, d), ["model_key"], "pair_id", 20, "boot").where("auroc is not null")
+    draws = selection.bootstrap_auroc(_scored(spark, d), ["model_key"], "pair_id", DRAWS, "boot").where("auroc is not null")
     return selection.draw_summary(draws, "model_key", "auroc")
 
 

@@ -237,3 +237,32 @@ def test_block_results_prefer_the_summary(spark, tmp_path):
     assert [f.rsplit("/", 1)[1] for f in readers.csv_files(spark, str(tmp_path / "t"))] == ["k.csv"]
     ids = spark.createDataFrame([("x", "y"), ("x", "z")], "a string, b string")
     assert {r["k"] for r in pairs.referenced(spark.createDataFrame([("x",), ("w",), ("z",)], "k string"), "k", ids, "a", "b").collect()} == {"x", "z"}
+
+
+def test_bootstrap_draws_against_brute_force(spark):
+    import numpy as np
+
+    from provenir.plans import registry
+
+    assert registry.DRAWS == 20_000
+    rng = random.Random(4)
+    data = [(rng.choice(["a", None]), f"p{i // 2}", i % 2, float(rng.randrange(6))) for i in range(80)] + [("a", None, 1, 1.0), ("b", "p1", 1, 1.0)]
+    df = spark.createDataFrame(data, "g string, pair_id string, truth int, score double")
+    keys = {r["pair_id"]: r["k"] for r in df.select("pair_id", F.xxhash64(F.lit("s"), "pair_id").alias("k")).distinct().collect()}
+    mass = 2**64
+
+    def weight(pair, draw):
+        z = (keys[pair] + draw * 0x9E3779B97F4A7C15) % mass
+        z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 % mass
+        z = (z ^ (z >> 27)) * 0x94D049BB133111EB % mass
+        u = ((z ^ (z >> 31)) >> 32) / 2**32
+        return sum(u >= math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(7))
+
+    got = {(r["g"], r["draw"]): r["auroc"] for r in selection.bootstrap_auroc(df, ["g"], "pair_id", 25, "s", block=10).collect()}
+    assert len(got) == 75 and all(got["b", k] is None for k in range(1, 26))
+    for (g, draw), value in got.items():
+        pos, neg = ([(s, weight(p, draw)) for h, p, t, s in data if h == g and t == side and p] for side in (1, 0))
+        total = sum(v for _, v in pos) * sum(v for _, v in neg)
+        assert value is None if not total else math.isclose(value, sum(v * w * ((x > y) + 0.5 * (x == y)) for x, v in pos for y, w in neg) / total)
+    w = selection.bootstrap_weights(np.arange(200) * 7919, 1, 2000)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
