@@ -35,7 +35,7 @@ def name_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT doc_id, octet_length(encode(substr(text, 1, (n_chars // 2)::INT)))::INT AS bytes, replace(replace(substr(text, 1, 40), '{', '{{'), '}', '}}') AS escaped FROM documents""")
 def byte_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.byte_offset("text", F.floor(F.col("n_chars") / 2)).alias("bytes"), text.escape_braces(F.substring("text", 1, 40)).alias("escaped"))
+    return table(spark, d, "documents").select("doc_id", text.byte_offset("text", F.floor(F.col("n_chars") / 2)).alias("bytes"), text.escape_braces("text").alias("escaped"))
 
 
 @query("""SELECT line_no, (('0x' || substr(sha256('seed' || chr(0) || line_no), 1, 16))::UBIGINT % 9223372036854775807)::BIGINT AS seed FROM candidates""")

@@ -266,3 +266,12 @@ def test_bootstrap_draws_against_brute_force(spark):
         assert value is None if not total else math.isclose(value, sum(v * w * ((x > y) + 0.5 * (x == y)) for x, v in pos for y, w in neg) / total)
     w = selection.bootstrap_weights(np.arange(200) * 7919, 1, 2000)
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+
+
+def test_braces_of_whole_texts_are_escaped(spark, tmp_path):
+    from provenir.plans import more
+
+    texts = ["x" * 60 + "{a}" + "y" * 60, "{" * 50, "", None]
+    spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["escaped"] for r in more.byte_offsets(spark, str(tmp_path)).collect()}
+    assert got == {i: t and t.replace("{", "{{").replace("}", "}}") for i, t in enumerate(texts)}
