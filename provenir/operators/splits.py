@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from provenir.functions.hashing import rank_key, seeded
 from provenir.operators.pairs import with_positions
+from provenir.runtime import cut
 
 
 def top_per_stratum(rows: DataFrame, stratum: str, key: str, k: int, seed: str) -> DataFrame:
@@ -72,10 +73,18 @@ def nested_sizes(ranked: DataFrame, rank: str, sizes: tuple[int, ...]) -> DataFr
     return ranked.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where(F.col(rank) <= F.col("size"))
 
 
-def stratified_pick(binned: DataFrame, bin_column: str, key: str, quality: str, total: int, bins: int, seed: str) -> DataFrame:
-    """total rows over the bins (the first bins get the remainder), picked by seeded order among each bin's best 2 x take by quality."""
-    take = F.lit(total // bins) + F.when(F.col(bin_column) < total % bins, 1).otherwise(0)
+def stratified_pick(binned: DataFrame, bin_column: str, key: str, quality: str, total: int, seed: str) -> DataFrame:
+    """total rows over the bins there are (the first get the remainder), picked by seeded order among each bin's best 2 x take by quality.
+
+    What small bins leave short is filled up from all other rows in seeded order; fewer rows than total is an error.
+    """
+    rows = cut(binned, "binned")
+    found = sorted(r[0] for r in rows.where(F.col(bin_column).isNotNull()).select(bin_column).distinct().collect())
+    base, more = divmod(total, max(1, len(found)))
+    take = F.lit(base) + F.col(bin_column).isin(found[:more]).cast("int")
     best = Window.partitionBy(bin_column).orderBy(quality, key)
-    pool = binned.withColumn("_take", take).withColumn("_q", F.row_number().over(best)).where(F.col("_q") <= 2 * F.col("_take"))
-    picked = pool.withColumn("_p", F.row_number().over(Window.partitionBy(bin_column).orderBy(seeded(seed, key), key)))
-    return picked.where(F.col("_p") <= F.col("_take")).drop("_take", "_q", "_p")
+    pool = rows.where(F.col(bin_column).isNotNull()).withColumn("_take", take).withColumn("_q", F.row_number().over(best)).where(F.col("_q") <= 2 * F.col("_take"))
+    placed = pool.withColumn("_p", F.row_number().over(Window.partitionBy(bin_column).orderBy(seeded(seed, key), key)))
+    picked = cut(placed.where(F.col("_p") <= F.col("_take")).drop("_take", "_q", "_p"), "picked")
+    short = total - picked.count()
+    return picked if not short else picked.union(sample(rows.join(picked.select(key), key, "left_anti").select(*rows.columns), key, short, seed))

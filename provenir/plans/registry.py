@@ -275,7 +275,7 @@ def quintiles(spark: SparkSession, d: str) -> DataFrame:
 p AS (SELECT *, CASE WHEN bin < 32 % 5 THEN 7 ELSE 6 END AS take, row_number() OVER (PARTITION BY bin ORDER BY quality, pair_id) AS k FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY sha256('pick' || chr(0) || pair_id), pair_id) AS j FROM p WHERE k <= 2 * take) SELECT pair_id, bin::INT AS bin FROM r WHERE j <= take""")
 def stratified_select(spark: SparkSession, d: str) -> DataFrame:
     binned = pairs.quantile_bins(_pairs(spark, d).withColumn("quality", F.abs(F.col("max_tokens") - 420)), "max_tokens", 5, "bin")
-    return splits.stratified_pick(binned, "bin", "pair_id", "quality", 32, 5, "pick").select("pair_id", "bin")
+    return splits.stratified_pick(binned, "bin", "pair_id", "quality", 32, "pick").select("pair_id", "bin")
 
 
 # ---- candidates and checkpoints

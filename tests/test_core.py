@@ -275,3 +275,19 @@ def test_braces_of_whole_texts_are_escaped(spark, tmp_path):
     spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["escaped"] for r in more.byte_offsets(spark, str(tmp_path)).collect()}
     assert got == {i: t and t.replace("{", "{{").replace("}", "}}") for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("sizes", [[5] * 40 + list(range(10, 90)), [5] * 3 + [9] * 100, list(range(33)), [7] * 40])
+def test_stratified_pick_gives_its_total(spark, sizes):
+    df = spark.createDataFrame([(f"p{i}", v, abs(v - 30)) for i, v in enumerate(sizes)], "id string, v int, q int")
+    binned = pairs.quantile_bins(df, "v", 5, "b")
+    counts = {r["b"]: r["count"] for r in binned.groupBy("b").count().collect()}
+    out = splits.stratified_pick(binned, "b", "id", "q", 32, seed="s").collect()
+    assert len({r["id"] for r in out}) == len(out) == 32
+    got = pd.Series([r["b"] for r in out]).value_counts()
+    for i, b in enumerate(sorted(counts)):
+        assert got[b] >= min(counts[b], 32 // len(counts) + (i < 32 % len(counts)))
+    with pytest.raises(ValueError):
+        splits.stratified_pick(binned, "b", "id", "q", len(sizes) + 1, seed="s")
+    small = spark.createDataFrame([(f"a{i}", 0, i) for i in range(2)] + [(f"b{i}", 1, i) for i in range(50)], "id string, b int, q int")
+    assert sorted(pd.Series([r["b"] for r in splits.stratified_pick(small, "b", "id", "q", 20, seed="s").collect()]).value_counts()) == [2, 18]
