@@ -105,6 +105,11 @@ def composed(prompt: str, continuation: str) -> str:
     return textwrap.dedent(prompt + continuation).strip() + "\n"
 
 
+def canonical(source: str | None) -> str:
+    """The source with plain line feeds, its common indent and outer white space gone; what code hashes are taken of."""
+    return textwrap.dedent((source or "").replace("\r\n", "\n").replace("\r", "\n")).strip()
+
+
 def dedented(source: str) -> str:
     """The source less its first line's indent on every line that isn't inside a string of several lines."""
     indent = len(source) - len(source.lstrip(" \t"))

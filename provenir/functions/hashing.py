@@ -19,3 +19,8 @@ def rank_key(seed: str, *parts: Column | str) -> Column:
 def bucket(seed: str, buckets: int, *parts: Column | str) -> Column:
     """A number from 0 to buckets - 1 from the seeded hash."""
     return F.pmod(F.conv(F.substring(seeded(seed, *parts), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
+
+
+def plain_hex(value: Column | str) -> Column:
+    """A hash without blanks, case or the name of its kind before it."""
+    return F.regexp_replace(F.lower(F.trim(F.col(value) if isinstance(value, str) else value)), "^sha256:", "")

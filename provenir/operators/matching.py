@@ -33,3 +33,10 @@ def enclosing(ranges: DataFrame, by: list[str], key: str) -> DataFrame:
     least = inside.groupBy(*by, "_k").agg(F.min(F.struct("_span", "outer")).alias("m"), F.min("_span").alias("_least"))
     ties = inside.join(least, [*by, "_k"]).where("_span = _least").groupBy(*by, "_k").agg(F.count("*").alias("n"), F.min("outer").alias("outer"))
     return ties.where("n = 1").select(*by, F.col("_k").alias(key), "outer")
+
+
+def unused(rows: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of which no key occurs in the history: one anti-join per key, nulls excluding nothing."""
+    for k in keys:
+        rows = rows.join(history.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_anti")
+    return rows

@@ -83,6 +83,24 @@ def best_threshold(swept: DataFrame, by: list[str]) -> DataFrame:
     return swept.groupBy(*by).agg(F.max_by("threshold", key).alias("threshold"), F.max_by("avg_f1", key).alias("avg_f1"))
 
 
+def classifier_gains(cells: DataFrame) -> DataFrame:
+    """From cells (classifier, dataset, threshold, default, tuned): a row per classifier with its cells' means, and the one best cell of all by tuned (level best; the first of equals by name)."""
+    c = cells.withColumn("delta", F.col("tuned") - F.col("default"))
+    means = c.groupBy("classifier").agg(F.count("*").alias("cells"), *(F.avg(x).alias(x) for x in ("default", "tuned", "delta")))
+    best = c.orderBy(F.desc("tuned"), "classifier", "dataset").limit(1)
+    none = [F.lit(None).cast(c.schema[x].dataType).alias(x) for x in ("dataset", "threshold")]
+    columns = ["level", "classifier", "dataset", "threshold", "cells", "default", "tuned", "delta"]
+    return means.select("*", *none, F.lit("classifier").alias("level")).select(columns).union(best.select("*", F.lit(1).cast("bigint").alias("cells"), F.lit("best").alias("level")).select(columns))
+
+
+def paired_deltas(rows: DataFrame, pair: str, before: str, after: str) -> DataFrame:
+    """From rows (subset, pair, condition, truth, score): pairs, both conditions' AUROC and after less before per subset."""
+    at = auroc(rows, ["subset", "condition"])
+    pick = lambda c: F.max(F.when(F.col("condition") == c, F.col("auroc")))
+    n = rows.groupBy("subset").agg(F.count_distinct(pair).alias("pairs"))
+    return n.join(at.groupBy("subset").agg(pick(before).alias("before"), pick(after).alias("after")), "subset").withColumn("delta", F.col("after") - F.col("before"))
+
+
 def proba_grid() -> list[float]:
     """0.30 to 0.70 in steps of 0.02."""
     return [round(0.30 + 0.02 * i, 2) for i in range(21)]

@@ -110,10 +110,10 @@ def bootstrap_auroc(rows: DataFrame, by: list[str], cluster: str, draws: int, se
     return spread.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *by, "_block").groupBy(*by, "_block").applyInArrow(drawn, shape)
 
 
-def intervals(draws: DataFrame, by: list[str], value: str, alpha: float = 0.05) -> DataFrame:
-    """Mean, median and percentile interval over the draws, and the two-sided share of draws across 0.5."""
+def intervals(draws: DataFrame, by: list[str], value: str, alpha: float = 0.05, centre: float = 0.5) -> DataFrame:
+    """Mean, median and percentile interval over the draws, and the two-sided share of draws across the centre."""
     q = F.percentile(value, F.array(F.lit(alpha / 2), F.lit(0.5), F.lit(1 - alpha / 2)))
-    a = draws.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("draws"), F.avg(value).alias("mean"), q.alias("q"), F.avg((F.col(value) >= 0.5).cast("double")).alias("up"), F.avg((F.col(value) <= 0.5).cast("double")).alias("down"))
+    a = draws.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("draws"), F.avg(value).alias("mean"), q.alias("q"), F.avg((F.col(value) >= centre).cast("double")).alias("up"), F.avg((F.col(value) <= centre).cast("double")).alias("down"))
     return a.select(*by, "draws", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"), F.least(F.lit(1.0), 2 * F.least("up", "down")).alias("p_value"))
 
 

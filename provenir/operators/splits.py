@@ -73,6 +73,18 @@ def nested_sizes(ranked: DataFrame, rank: str, sizes: tuple[int, ...]) -> DataFr
     return ranked.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where(F.col(rank) <= F.col("size"))
 
 
+def fixed_eval(ranked: DataFrame, key: str, rank: str, dev: int, test: int, sizes: tuple[int, ...], seed: str) -> DataFrame:
+    """(size, key, role): for every size the same dev and test rows, set apart by seeded order, and the first size of the other rows by rank as train; too few rows is an error."""
+    rows = cut(ranked.select(key, rank), "fixed")
+    apart = cut(sample(rows, key, dev + test, seed), "apart")
+    held = apart.select(key, F.when(F.row_number().over(Window.orderBy(seeded(seed, key), key)) <= dev, "dev").otherwise("test").alias("role"), F.lit(0).alias("_k"))
+    rest = cut(rows.join(apart.select(key), key, "left_anti").orderBy(rank, key).limit(max(sizes)), "rest")
+    if (found := rest.count()) < max(sizes):
+        raise ValueError(f"wanted {max(sizes)} rows to train on, there are {found}")
+    train = rest.select(key, F.lit("train").alias("role"), F.row_number().over(Window.orderBy(rank, key)).alias("_k"))
+    return held.union(train).withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where("_k <= size").select("size", key, "role")
+
+
 def stratified_pick(binned: DataFrame, bin_column: str, key: str, quality: str, total: int, seed: str) -> DataFrame:
     """total rows over the bins there are (the first get the remainder), picked by seeded order among each bin's best 2 x take by quality.
 

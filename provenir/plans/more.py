@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provenir.functions import code, hashing, text
-from provenir.operators import checks, matching, metrics, rollup
-from provenir.plans.registry import EVENTS, HALVES, LATEST, OCC, RANKED, SCORED, _events, _halves, _latest, _ranked, _scored, query, rounded
+from provenir.operators import checks, matching, metrics, pairs, rollup, selection, splits
+from provenir.plans.registry import DRAWS, EVENTS, HALVES, LATEST, OCC, RANKED, SCORED, _events, _halves, _latest, _ranked, _scored, query, rounded
 from provenir.runtime import cut, spread, table
 from provenir.sources import readers
 
@@ -123,6 +123,13 @@ def equal_ranges(spark: SparkSession, d: str) -> DataFrame:
     return ranged.withColumn("j", F.row_number().over(pick)).where("j = 1").select("bucket", "range", "line_no", "tag")
 
 
+@query(f"""WITH {RANKED}, o AS (SELECT pair_id, complexity_rank, row_number() OVER (ORDER BY sha256('fixed' || chr(0) || pair_id), pair_id) AS k FROM ranked), t AS (SELECT pair_id, row_number() OVER (ORDER BY complexity_rank) AS j FROM o WHERE k > 200)
+SELECT size, pair_id, role FROM (SELECT pair_id, CASE WHEN k <= 100 THEN 'dev' ELSE 'test' END AS role, 0 AS j FROM o WHERE k <= 200 UNION ALL SELECT pair_id, 'train', j FROM t), (VALUES (25), (50), (100)) s(size) WHERE j <= size""")
+def fixed_eval_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred pairs each for dev and test, and growing prefixes of the other pairs by complexity."""
+    return splits.fixed_eval(_ranked(spark, d), "pair_id", "complexity_rank", 100, 100, (25, 50, 100), "fixed")
+
+
 # ---- what SQL can't express
 
 @query()
@@ -174,6 +181,44 @@ def size_classifier(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(rows.where("split = 'test'")).select("idx", F.col("label").cast("int").alias("truth"), vector_to_array("probability")[1].alias("score"))
 
 
+@query()
+def threshold_gains(spark: SparkSession, d: str) -> DataFrame:
+    """What tuning the threshold on dev gains on test over the median, for three scores over the models, and the best cell."""
+    sizes = {"tokens": text.space_weight("code"), "lines": text.line_count("code"), "words": text.word_count("code")}
+    rows = cut(_halves(spark, d).where("code is not null and side is not null").select("split", "model_key", (F.col("side") == "human").cast("int").alias("truth"), *((-c).cast("double").alias(n) for n, c in sizes.items())), "sizes")
+    cells = None
+    for name in sizes:
+        scored = rows.select("split", "model_key", "truth", F.col(name).alias("score"))
+        dev, test = scored.where("split = 'dev'"), scored.where("split = 'test'")
+        middle, grid = dev.agg(F.percentile("score", F.lit(0.5))).first()[0], metrics.decision_grid(dev)
+        best = metrics.best_threshold(metrics.sweep(dev, ["model_key"], grid), ["model_key"]).select("model_key", "threshold")
+        tuned = metrics.sweep(test, ["model_key"], grid).select("model_key", "threshold", F.col("avg_f1").alias("tuned")).join(best, ["model_key", "threshold"])
+        default = metrics.sweep(test, ["model_key"], [middle]).select("model_key", F.col("avg_f1").alias("default"))
+        part = tuned.join(default, "model_key").select(F.lit(name).alias("classifier"), F.col("model_key").alias("dataset"), "threshold", "default", "tuned")
+        cells = part if cells is None else cells.union(part)
+    return metrics.classifier_gains(cut(cells, "cells"))
+
+
+@query()
+def temperature_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """AUROC of human against machine code at t02 and t06 of the same prompts: all, changed answers and size quintiles; for all the interval and sign p of the difference over paired draws."""
+    valid = _latest(spark, d).where("agc_valid and agc_code is not null")
+    both = [valid.where(F.col("tag") == t).select("line_no", F.col("agc_code").alias(t)) for t in ("t02", "t06")]
+    human = table(spark, d, "candidates").where("prompt is not null and solution is not null").groupBy("line_no").agg(F.min(F.concat("prompt", "solution")).alias("human"))
+    size = lambda c: (-text.space_weight(c)).cast("double").alias(c)
+    paired = cut(both[0].join(both[1], "line_no").join(human, "line_no").select("line_no", (F.col("t02") != F.col("t06")).alias("changed"), size("t02"), size("t06"), size("human")), "paired")
+    binned = pairs.equal_bins(paired, ["human", "line_no"], 5, "quintile")
+    long = binned.select("line_no", "changed", "quintile", F.explode(F.array(*(F.struct(F.lit(t).alias("condition"), F.lit(k).alias("truth"), F.col(c).alias("score")) for t in ("t02", "t06") for k, c in ((1, "human"), (0, t))))).alias("r")).select("line_no", "changed", "quintile", "r.*")
+    long = cut(long, "conditions")
+    sets = F.array_compact(F.array(F.lit("all"), F.when(F.col("changed"), "changed"), F.concat(F.lit("quintile_"), F.col("quintile") + 1)))
+    table_ = metrics.paired_deltas(long.withColumn("subset", F.explode(sets)), "line_no", "t02", "t06")
+    drawn = selection.bootstrap_auroc(long, ["condition"], "line_no", DRAWS, "temperature")
+    at = lambda t: F.max(F.when(F.col("condition") == t, F.col("auroc")))
+    deltas = drawn.groupBy("draw").agg((at("t06") - at("t02")).alias("delta")).withColumn("subset", F.lit("all"))
+    spans = selection.intervals(deltas, ["subset"], "delta", centre=0.0).select("subset", "draws", "low", "high", "p_value")
+    return rounded(table_.join(spans, "subset", "left"), "before", "after", "delta", "low", "high", "p_value")
+
+
 @query(r"""SELECT idx, regexp_extract(model, '^(.*?)(?:_\d+_.*)?$', 1) AS short, CASE WHEN contains(lower(model), 'quill') THEN 'quill' WHEN contains(lower(model), 'moss') THEN 'moss' WHEN contains(lower(model), 'tarn') THEN 'tarn' END AS family, concat_ws('_', idx, split, label) AS sample_id FROM code_pairs""")
 def run_names(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "code_pairs")

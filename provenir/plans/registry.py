@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provenir.functions import cleaning, code, hashing, text
-from provenir.operators import checks, events, metrics, pairs, retrieval, rollup, selection, splits
+from provenir.operators import checks, events, matching, metrics, pairs, retrieval, rollup, selection, splits
 from provenir.runtime import cut, spread, table
 from provenir.sources import readers
 
@@ -315,9 +315,11 @@ def validity_crosstab(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH u AS (SELECT DISTINCT lower(prompt_sha256) AS h FROM checkpoints WHERE prompt_sha256 IS NOT NULL AND tag = 't06'), c AS (SELECT line_no, lower(prompt_sha256) AS h FROM candidates WHERE prompt_sha256 IS NOT NULL), r AS (SELECT line_no, row_number() OVER (PARTITION BY h ORDER BY line_no) AS k FROM c WHERE h NOT IN (SELECT h FROM u)) SELECT line_no FROM r WHERE k = 1""")
 def exclusion_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    used = table(spark, d, "checkpoints").where("prompt_sha256 is not null and tag = 't06'").select(F.lower("prompt_sha256").alias("h")).distinct()
-    fresh = table(spark, d, "candidates").where("prompt_sha256 is not null").select("line_no", F.lower("prompt_sha256").alias("h")).join(used, "h", "left_anti")
-    return fresh.groupBy("h").agg(F.min("line_no").alias("line_no")).select("line_no")
+    """The first candidate of each prompt of which no checkpoint, at any tag, has the prompt, the human code or the line."""
+    used = table(spark, d, "checkpoints").select(hashing.plain_hex("prompt_sha256").alias("h"), hashing.plain_hex("human_sha256").alias("code_hash"), "line_no")
+    whole = F.udf(code.canonical, "string", useArrow=True)(F.concat("prompt", "solution"))
+    rows = table(spark, d, "candidates").where("prompt_sha256 is not null").select("line_no", hashing.plain_hex("prompt_sha256").alias("h"), F.sha2(whole, 256).alias("code_hash"))
+    return matching.unused(rows, used, ["h", "code_hash", "line_no"]).groupBy("h").agg(F.min("line_no").alias("line_no")).select("line_no")
 
 
 @query("""SELECT line_no, source_stratum, k::INT AS stratum_rank FROM (SELECT line_no, source_stratum, row_number() OVER (PARTITION BY source_stratum ORDER BY substr(sha256('top' || chr(0) || line_no), 1, 16), line_no) AS k FROM candidates) WHERE k <= 5""")

@@ -291,3 +291,35 @@ def test_stratified_pick_gives_its_total(spark, sizes):
         splits.stratified_pick(binned, "b", "id", "q", len(sizes) + 1, seed="s")
     small = spark.createDataFrame([(f"a{i}", 0, i) for i in range(2)] + [(f"b{i}", 1, i) for i in range(50)], "id string, b int, q int")
     assert sorted(pd.Series([r["b"] for r in splits.stratified_pick(small, "b", "id", "q", 20, seed="s").collect()]).value_counts()) == [2, 18]
+
+
+def test_fixed_dev_and_test_with_nested_train_prefixes(spark):
+    ranked = spark.createDataFrame([(f"p{i}", i) for i in range(1, 41)], "pair_id string, r int")
+    out = pd.DataFrame([r.asDict() for r in splits.fixed_eval(ranked, "pair_id", "r", 5, 6, (4, 10), "s").collect()])
+    sets = {k: set(g) for k, g in out.groupby(["size", "role"])["pair_id"]}
+    assert sets[4, "dev"] == sets[10, "dev"] and sets[4, "test"] == sets[10, "test"] and {k: len(v) for k, v in sets.items()} == {(4, "dev"): 5, (10, "dev"): 5, (4, "test"): 6, (10, "test"): 6, (4, "train"): 4, (10, "train"): 10}
+    held = sets[4, "dev"] | sets[4, "test"]
+    rest = [f"p{i}" for i in range(1, 41) if f"p{i}" not in held]
+    assert len(held) == 11 and sets[4, "train"] == set(rest[:4]) and sets[10, "train"] == set(rest[:10])
+    with pytest.raises(ValueError):
+        splits.fixed_eval(ranked, "pair_id", "r", 5, 6, (30,), "s")
+
+
+def test_classifier_gains_and_paired_deltas(spark):
+    cells = spark.createDataFrame([("a", "x", 0.1, 0.5, 0.75), ("a", "y", 0.2, 0.25, 0.5), ("b", "x", 0.3, 0.5, 0.75)], "classifier string, dataset string, threshold double, default double, tuned double")
+    out = {(r["level"], r["classifier"]): tuple(r)[2:] for r in metrics.classifier_gains(cells).collect()}
+    assert out == {("classifier", "a"): (None, None, 2, 0.375, 0.625, 0.25), ("classifier", "b"): (None, None, 1, 0.5, 0.75, 0.25), ("best", "a"): ("x", 0.1, 1, 0.5, 0.75, 0.25)}
+    rows = spark.createDataFrame([("s", 1, "t02", 1, 2.0), ("s", 1, "t02", 0, 1.0), ("s", 1, "t06", 1, 2.0), ("s", 1, "t06", 0, 2.0)], "subset string, id int, condition string, truth int, score double")
+    assert tuple(metrics.paired_deltas(rows, "id", "t02", "t06").first()) == ("s", 1, 1.0, 0.5, -0.5)
+
+
+def test_exclusions_by_prompt_code_and_line_at_any_tag(spark, tmp_path):
+    import hashlib
+
+    from provenir.plans import registry
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    spark.createDataFrame([(i, f"  p{i}\r\n", f"  s{i}\n", sha(f"p{i}")) for i in range(6)], "line_no int, prompt string, solution string, prompt_sha256 string").write.parquet(str(tmp_path / "candidates.parquet"))
+    used = [(90, "t02", "SHA256:" + sha("p0").upper(), None), (91, "t04", None, sha("p1\ns1")), (2, "t06", None, None), (92, "t06", sha("p3"), None), (None, "t06", None, None)]
+    spark.createDataFrame(used, "line_no int, tag string, prompt_sha256 string, human_sha256 string").write.parquet(str(tmp_path / "checkpoints.parquet"))
+    assert {r["line_no"] for r in registry.exclusion_antijoin(spark, str(tmp_path)).collect()} == {4, 5}
