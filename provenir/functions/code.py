@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import io
 import keyword
+import re
 import textwrap
 import tokenize
 import warnings
@@ -73,6 +74,69 @@ def analysed(df: DataFrame, code: str) -> DataFrame:
     return df.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), SCHEMA]))
 
 
+METRICS = ("avg_code_lines", "cyclomatic", "keywords", "branch_words", "nesting", "blank_lines", "functions", "declaring_lines")
+_NESTS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match)
+_DECLARES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Import, ast.ImportFrom, ast.Global, ast.Nonlocal, ast.AnnAssign)
+_WORDS = frozenset(keyword.kwlist) | frozenset("abstract auto bool boolean byte case catch char const default delete do double enum extends extern final float implements int interface long namespace new package private protected public short signed sizeof static struct super switch template this throw throws typedef unsigned using virtual void volatile".split())
+
+
+def _nesting(node: ast.AST) -> int:
+    """Control statements inside each other; elif stands beside its if."""
+    most, stack = 0, [(node, 0)]
+    while stack:
+        n, depth = stack.pop()
+        depth += isinstance(n, _NESTS)
+        most = max(most, depth)
+        for c in ast.iter_child_nodes(n):
+            beside = isinstance(n, ast.If) and n.orelse == [c] and isinstance(c, ast.If) and c.col_offset == n.col_offset
+            stack.append((c, depth - beside))
+    return most
+
+
+def static_metrics(code: str) -> list[float]:
+    """METRICS of a source: Python by its tree, what doesn't parse (other languages too) by its words and braces."""
+    lines = code.splitlines()
+    blank = sum(not x.strip() for x in lines)
+    bare = re.sub(r"(?s)/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|//[^\n]*|#[^\n]*", " ", code)
+    try:
+        tree = _parse(code)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        words = re.findall(r"[A-Za-z_]\w*", bare)
+        heads = re.findall(r"\b(?!if\b|for\b|while\b|switch\b|catch\b|return\b|else\b)\w+\s*\([^;{}()]*\)[^;{}()]*\{", bare)
+        depth = most = 0
+        for c in bare:
+            depth += (c == "{") - (c == "}")
+            most = max(most, depth)
+        decisions = sum(w in ("if", "for", "while", "case", "catch", "except", "elif") for w in words) + len(re.findall(r"&&|\|\||\?", bare))
+        full = sum(bool(x.strip()) for x in bare.splitlines())
+        declared = sum(bool(re.match(r"\s*(?:#\s*include|import|using|package|class|struct|def|(?:(?:public|private|protected|static|final|const)\s+)*[A-Za-z_][\w:<>,\[\]*&]*\s+\w+\s*(?:=|;|\())", x)) and not re.match(r"\s*(?:return|throw|else|new|delete)\b", x) for x in lines)
+        return [full / max(1, len(heads)), len(heads) + decisions, sum(w in _WORDS for w in words), sum(w in ("if", "else", "elif", "while") for w in words), max(0, most - bool(heads)), blank, len(heads), declared]
+    nodes = list(ast.walk(tree))
+    functions = [n for n in nodes if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    decisions = sum(isinstance(n, _DECISIONS) for n in nodes) + sum(len(n.values) - 1 for n in nodes if isinstance(n, ast.BoolOp))
+    try:
+        tokens = list(tokenize.generate_tokens(io.StringIO(code).readline))
+    except (tokenize.TokenError, SyntaxError, IndentationError):
+        tokens = []
+    used = {i for t in tokens if t.type not in (tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.COMMENT, tokenize.ENDMARKER) for i in range(t.start[0], t.end[0] + 1)}
+    words = [t.string for t in tokens if t.type == tokenize.NAME and keyword.iskeyword(t.string)]
+    inside = [len(used & set(range(f.lineno, f.end_lineno + 1))) for f in functions]
+    return [sum(inside) / max(1, len(inside)), len(functions) + decisions, len(words), sum(w in ("if", "else", "elif", "while") for w in words), _nesting(tree), blank, len(functions), len({n.lineno for n in nodes if isinstance(n, _DECLARES)})]
+
+
+def with_metrics(df: DataFrame, code: str) -> DataFrame:
+    """df without the code column, with METRICS as doubles."""
+    keep = [f for f in df.schema.fields if f.name != code]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [static_metrics(c) for c in batch.column(code).to_pylist()]
+            made = [pa.array([float(r[i]) for r in rows], pa.float64()) for i in range(len(METRICS))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *made], [*(f.name for f in keep), *METRICS])
+
+    return df.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *(f"{m} double" for m in METRICS)]))
+
+
 def normalised_names(code: str) -> str | None:
     """The source with its functions as func_n and other bound names as var_n in order of appearance, comments dropped; None where it doesn't parse."""
     try:

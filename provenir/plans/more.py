@@ -157,26 +157,26 @@ def chat_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def token_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Skip-gram vectors of the words of human code."""
+    """Skip-gram vectors of the words of the training rows, human and machine; 128 wide and five passes, as the reference's."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    words = _halves(spark, d).where("code is not null and side = 'human'").select(F.split("code", r"\W+").alias("words"))
-    model = Word2Vec(vectorSize=16, minCount=3, maxIter=1, numPartitions=4, seed=1, inputCol="words", outputCol="v").fit(words)
+    words = _halves(spark, d).where("code is not null and side is not null and split = 'train'").select(F.split("code", r"\W+").alias("words"))
+    model = Word2Vec(vectorSize=128, minCount=3, maxIter=5, numPartitions=6, seed=1, inputCol="words", outputCol="v").fit(words)
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
 @query()
 def size_classifier(spark: SparkSession, d: str) -> DataFrame:
-    """Standardised sizes of code into a small neural network: human or machine."""
+    """Eight standardised static metrics of code into a small neural network: human or machine."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = _halves(spark, d).where("code is not null and side is not null").select("idx", "split", (F.col("side") == "human").cast("double").alias("label"), text.line_count("code").alias("lines"), text.word_count("code").alias("words"), text.space_weight("code").alias("spaces"), F.length("code").alias("chars"))
-    rows = cut(rows, "sizes")
-    stages = [VectorAssembler(inputCols=["lines", "words", "spaces", "chars"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True), MultilayerPerceptronClassifier(layers=[4, 8, 2], maxIter=40, seed=1)]
+    rows = _halves(spark, d).where("code is not null and side is not null").select("idx", "split", (F.col("side") == "human").cast("double").alias("label"), "code")
+    rows = cut(code.with_metrics(spread(rows), "code"), "metrics")
+    stages = [VectorAssembler(inputCols=list(code.METRICS), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True), MultilayerPerceptronClassifier(layers=[8, 100, 2], maxIter=200, seed=1)]
     model = Pipeline(stages=stages).fit(rows.where("split = 'train'"))
     return model.transform(rows.where("split = 'test'")).select("idx", F.col("label").cast("int").alias("truth"), vector_to_array("probability")[1].alias("score"))
 

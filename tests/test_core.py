@@ -323,3 +323,22 @@ def test_exclusions_by_prompt_code_and_line_at_any_tag(spark, tmp_path):
     used = [(90, "t02", "SHA256:" + sha("p0").upper(), None), (91, "t04", None, sha("p1\ns1")), (2, "t06", None, None), (92, "t06", sha("p3"), None), (None, "t06", None, None)]
     spark.createDataFrame(used, "line_no int, tag string, prompt_sha256 string, human_sha256 string").write.parquet(str(tmp_path / "checkpoints.parquet"))
     assert {r["line_no"] for r in registry.exclusion_antijoin(spark, str(tmp_path)).collect()} == {4, 5}
+
+
+def test_static_metrics():
+    python = "import os\n\ndef f(x):\n    # if\n    if x and x > 1:\n        while x:\n            x -= 1\n    elif x:\n        return 'if'\n    return x\n"
+    assert dict(zip(code.METRICS, code.static_metrics(python))) == {"avg_code_lines": 7, "cyclomatic": 5, "keywords": 8, "branch_words": 3, "nesting": 2, "blank_lines": 1, "functions": 1, "declaring_lines": 2}
+    java = "int f(int x) {\n\n  // if\n  int y = 0;\n  if (x > 1 && x < 9) { while (x > 0) { x--; } }\n  return y;\n}\n"
+    assert dict(zip(code.METRICS, code.static_metrics(java))) == {"avg_code_lines": 5, "cyclomatic": 4, "keywords": 6, "branch_words": 2, "nesting": 2, "blank_lines": 1, "functions": 1, "declaring_lines": 2}
+
+
+def test_models_take_both_sides_of_the_training_rows(spark, tmp_path):
+    from provenir.plans import more
+
+    rows = [(f"p{i}_{s}", f"def {w}(x):\n    if x:\n        return x\n" * (1 + i % 3), s, "m", split, None) for split, n in (("train", 8), ("test", 4)) for i in range(n) for s, w in (("human", f"{split}h"), ("lm", f"{split}m"))]
+    rows = [(f"{r[4]}{r[0]}", *r[1:]) for r in rows]
+    spark.createDataFrame(rows, "idx string, code string, label string, model string, split string, written_at timestamp").write.parquet(str(tmp_path / "code_pairs.parquet"))
+    got = {r["word"]: len(r["vector"]) for r in more.token_vectors(spark, str(tmp_path)).collect()}
+    assert got["trainh"] == got["trainm"] == 128 and "testh" not in got and "testm" not in got
+    scored = more.size_classifier(spark, str(tmp_path)).collect()
+    assert len(scored) == 8 and all(0 <= r["score"] <= 1 for r in scored)
