@@ -54,12 +54,22 @@ def _symbols(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1).astype(np.int64)
 
 
+def _distinct(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Distinct values of each text."""
+    texts = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    order = np.lexsort((values, texts))
+    v, t = values[order], texts[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (t[1:] != t[:-1])
+    return np.bincount(t[new], minlength=len(offsets) - 1)
+
+
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes, offsets = X.token_hashes(batch.column("text").to_pylist())
         threes, at3 = X.runs(hashes, offsets, 3)
         wides, at8 = X.runs(hashes, offsets, WIDE)
-        signs, n = X.signatures(threes, at3), np.diff(at3)
+        signs, n = X.signatures(threes, at3), _distinct(threes, at3)
         for kind, rows, symbols in ((3, np.flatnonzero((n > 0) & (n <= LONG)), _symbols(threes, at3)), (WIDE, np.flatnonzero(n >= SHORT), _symbols(wides, at8))):
             if len(rows):
                 part = batch.take(pa.array(rows))

@@ -287,3 +287,10 @@ def test_redaction_is_a_round_trip(spark):
 def test_grammars_build():
     for g in (_grammars.PYTHON, _grammars.JAVA, _grammars.CPP):
         assert len(_lr.build(g).action) > 400
+
+
+def test_near_duplicates_find_a_text_and_its_tenfold_repetition(spark):
+    line = " ".join(f"word{i}" for i in range(30)) + "\n"
+    df = spark.createDataFrame([("a", "code", line), ("b", "code", line * 10)], "key string, field string, text string")
+    members, alike = near_duplicates.like_pairs(df)
+    assert {(r["key_a"], r["key_b"]) for r in near_duplicates.member_pairs(members, alike).collect()} == {("a", "b")}
