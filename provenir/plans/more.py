@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from provenir.functions import code, hashing, text
 from provenir.operators import checks, matching, metrics, pairs, rollup, selection, splits
 from provenir.plans.registry import DRAWS, EVENTS, HALVES, LATEST, OCC, RANKED, SCORED, _events, _halves, _latest, _ranked, _scored, query, rounded
-from provenir.runtime import cut, spread, table
+from provenir.runtime import cut, table
 from provenir.sources import readers
 
 
@@ -135,13 +135,13 @@ def fixed_eval_sizes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def code_blocks(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "source_files").where("lower(relative_path) like '%.py' and file_text is not null").select("snapshot_id", "relative_path", "file_text").dropDuplicates(["snapshot_id", "relative_path"])
-    return code.with_blocks(spread(files), "file_text")
+    return code.with_blocks(files, "file_text")
 
 
 @query()
 def docstring_only(spark: SparkSession, d: str) -> DataFrame:
     rows = _halves(spark, d).where("code is not null").select("side", "code")
-    return code.analysed(spread(rows), "code").groupBy("side").agg(F.count("*").alias("sources"), F.count_if(F.col("docstring_only")).alias("docstring_only"), F.count_if(~F.col("ok")).alias("invalid"), F.count_if(~F.col("returns")).alias("no_return"))
+    return code.analysed(rows, "code").groupBy("side").agg(F.count("*").alias("sources"), F.count_if(F.col("docstring_only")).alias("docstring_only"), F.count_if(~F.col("ok")).alias("invalid"), F.count_if(~F.col("returns")).alias("no_return"))
 
 
 @query()
@@ -175,7 +175,7 @@ def size_classifier(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     rows = _halves(spark, d).where("code is not null and side is not null").select("idx", "split", (F.col("side") == "human").cast("double").alias("label"), "code")
-    rows = cut(code.with_metrics(spread(rows), "code"), "metrics")
+    rows = cut(code.with_metrics(rows, "code"), "metrics")
     stages = [VectorAssembler(inputCols=list(code.METRICS), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True), MultilayerPerceptronClassifier(layers=[8, 100, 2], maxIter=200, seed=1)]
     model = Pipeline(stages=stages).fit(rows.where("split = 'train'"))
     return model.transform(rows.where("split = 'test'")).select("idx", F.col("label").cast("int").alias("truth"), vector_to_array("probability")[1].alias("score"))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from provenir.functions import cleaning, code, hashing, text
 from provenir.operators import checks, events, matching, metrics, pairs, retrieval, rollup, selection, splits
-from provenir.runtime import cut, spread, table
+from provenir.runtime import cut, table
 from provenir.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -549,7 +549,7 @@ def vector_drift(spark: SparkSession, d: str) -> DataFrame:
 def code_analysis(spark: SparkSession, d: str) -> DataFrame:
     rows = _latest(spark, d).where("agc_code is not null").select("line_no", "tag", "agc_code")
     paths = table(spark, d, "candidates").where("lower(relative_path) like '%.py'").select("line_no")
-    return code.analysed(spread(rows.join(paths, "line_no", "left_semi")), "agc_code")
+    return code.analysed(rows.join(paths, "line_no", "left_semi"), "agc_code")
 
 
 @query()
@@ -563,7 +563,7 @@ def node_words(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def cleaned_outputs(spark: SparkSession, d: str) -> DataFrame:
     prompts = table(spark, d, "candidates").groupBy("line_no").agg(F.first("prompt", ignorenulls=True).alias("prompt"))
-    return cleaning.with_cleaned(spread(_latest(spark, d).select("line_no", "tag", "raw_output").join(prompts, "line_no")), "prompt", "raw_output")
+    return cleaning.with_cleaned(_latest(spark, d).select("line_no", "tag", "raw_output").join(prompts, "line_no"), "prompt", "raw_output")
 
 
 @query()

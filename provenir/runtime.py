@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, tables cut out of a lineage, input spreading."""
+"""Session helpers: the shared folder, tables cut out of a lineage, input spreading, joins on hot keys."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -77,13 +78,30 @@ def _release_all() -> None:
             pass
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out evenly when the input has fewer partitions than the cluster has cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a plain scan out evenly where it has fewer bytes than the cluster's cores could take.
 
-    Large inputs have more splits than that and stay as they are, without a shuffle.
+    The size comes from the scan's statistics, so nothing runs for it. Larger scans have splits for
+    all cores and stay as they are, without a shuffle. Behind joins and groups adaptive execution
+    sizes the partitions, so those are never put through this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")))
+    return scan if size >= cores * split else scan.repartition(cores)
+
+
+def blocked_join(left: DataFrame, right: DataFrame, key: list[str], block: int = 2000) -> DataFrame:
+    """Inner join on key in which no task meets a hot key whole.
+
+    The left rows of a key are dealt into blocks of about that many rows by their hashes and the
+    right rows are copied to each block; keys of up to one block are joined as they are.
+    """
+    size = left.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_blocks"))
+    dealt = left.join(size, key).withColumn("_block", F.when(F.col("_blocks") == 1, 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_blocks")).cast("int")))
+    copied = right.join(size, key).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return dealt.drop("_blocks").join(copied.drop("_blocks"), [*key, "_block"]).drop("_block")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
