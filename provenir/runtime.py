@@ -87,7 +87,7 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     spark = scan.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")))
     return scan if size >= cores * split else scan.repartition(cores)
 
