@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,23 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 #: Bits of the likeness signature.
 SIGNATURE_BITS = 128
-_MEMO_LIMIT = 2_000_000
+_MEMO_LIMIT = 200_000
+#: Bytes of text that are worked on at once, whatever the rows of a batch; a longer text is worked on alone and whole.
+SLICE = 2_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches again, in pieces of up to limit bytes of the named text columns (at least a row each)."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for c in columns:
+            size += np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), np.int64)
+        ends, begin = np.cumsum(size), 0
+        while begin < batch.num_rows:
+            base = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            yield batch.slice(begin, stop - begin)
+            begin = stop
 
 
 class _Memo(dict):
@@ -95,14 +112,25 @@ def likeness(a: str, b: str, width: int = 3) -> float:
     return both / (len(s) + len(t) - both) if s or t else 0.0
 
 
+def run_set(text: str, width: int = 3) -> frozenset:
+    """The distinct runs of width tokens."""
+    tokens = TOKEN.findall(text)
+    return frozenset(zip(*(tokens[k:] for k in range(width))))
+
+
 def with_likeness(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """pairs without the text columns a and b, with their likeness as the column likeness."""
     keep = [f for f in pairs.schema.fields if f.name not in (a, b)]
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "likeness double"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = [likeness(x, y) for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist())]
+        for batch in slices(batches, a, b):
+            seen: dict[str, frozenset] = {}
+            score = []
+            for pair in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist()):
+                s, t = (seen.get(x) or seen.setdefault(x, run_set(x)) for x in pair)
+                both = len(s & t)
+                score.append(both / (len(s) + len(t) - both) if s or t else 0.0)
             arrays = [batch.column(f.name) for f in keep]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(score, pa.float64())], [*(f.name for f in keep), "likeness"])
 

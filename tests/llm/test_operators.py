@@ -72,6 +72,24 @@ def test_split_overlap_against_all_pairs(spark):
     assert found <= want | {("two", "two2")} and len(want - found) <= 0.01 * len(want)
 
 
+@pytest.mark.parametrize("kinds", [(6, 40), (41, 400)])
+def test_split_overlap_finds_edited_texts_of_all_lengths(spark, kinds):
+    rng = random.Random(kinds[0])
+    rows, want = [], set()
+    for f in range(700):
+        base = [rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(rng.randrange(*kinds))]
+        edited = list(base)
+        for _ in range(1 if kinds[1] <= 40 else rng.randrange(1, 2 + len(base) // 20)):
+            k = rng.randrange(len(edited))
+            edited[k : k + rng.randrange(0, 2)] = [rng.choice(WORDS)] * rng.randrange(0, 2)
+        rows += [(f"t{f}", " ".join(base), "train"), (f"d{f}", " ".join(edited), "dev")]
+        if _text.likeness(rows[-2][1], rows[-1][1]) >= 0.7 or rows[-2][1] == rows[-1][1]:
+            want.add((f"t{f}", f"d{f}"))
+    pairs = split_overlap.record_pairs(*split_overlap.overlapping(spark.createDataFrame(rows, "idx string, code string, split string")))
+    found = {(r["train_idx"], r["held_idx"]) for r in pairs.collect()}
+    assert len(want) > 200 and len(want - found) <= 0.002 * len(want)
+
+
 def test_chunks_cover_the_text_and_survive_edits():
     text = " ".join(WORDS * 5)
     tokens, text_of, digests, lengths = split_overlap.chunk_batch([text, "", "x", text])
