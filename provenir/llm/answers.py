@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from provenir.llm import _phrases as P
 from provenir.llm import truncation
-from provenir.runtime import cut, spread, table
+from provenir.runtime import cut, table
 
 DEFECTS = ("empty", "refusal", "other_language", "echo", "truncated")
 #: Records the classifier is fitted on, taken by the least hashes of their keys; buckets of the hashed n-grams.
@@ -273,7 +273,7 @@ def judged(checkpoints: DataFrame, candidates: DataFrame) -> DataFrame:
                 ["line_no", "tag", "defect", *(f"{d}_score" for d in DEFECTS)],
             )
 
-    return spread(pairs).mapInArrow(work, "line_no int, tag string, defect string, " + ", ".join(f"{d}_score double" for d in DEFECTS))
+    return pairs.mapInArrow(work, "line_no int, tag string, defect string, " + ", ".join(f"{d}_score double" for d in DEFECTS))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,9 +86,9 @@ def program_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "candidates").where("line_no is not null")
     paths = people.select("line_no", "repo_name", language("relative_path").alias("language")).where("language is not null")
     made = table(spark, sf_dir, "checkpoints").where(F.col("tag").isNotNull() & has_token(F.col("agc_code"))).select("line_no", "tag", F.col("agc_code").alias("text"))
-    human = people.select("line_no", F.lit("human").alias("tag"), "repo_name", language("relative_path").alias("language"), F.concat(F.coalesce("prompt", F.lit("")), F.coalesce("solution", F.lit(""))).alias("text"))
-    made = spread(made.join(paths, "line_no")).select("line_no", "tag", "repo_name", "language", "text")
-    return made.unionByName(spread(human.where("language is not null and text <> ''")))
+    human = spread(people).select("line_no", F.lit("human").alias("tag"), "repo_name", language("relative_path").alias("language"), F.concat(F.coalesce("prompt", F.lit("")), F.coalesce("solution", F.lit(""))).alias("text"))
+    made = made.join(paths, "line_no").select("line_no", "tag", "repo_name", "language", "text")
+    return made.unionByName(human.where("language is not null and text <> ''"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
