@@ -79,7 +79,7 @@ def _release_all() -> None:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a plain scan out evenly where it has fewer bytes than the cluster's cores could take.
+    """Deal the rows of a plain scan out evenly where it has fewer files and fewer bytes than the cluster's cores could take.
 
     The size comes from the scan's statistics, so nothing runs for it. Larger scans have splits for
     all cores and stay as they are, without a shuffle. Behind joins and groups adaptive execution
@@ -89,7 +89,7 @@ def spread(scan: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")))
-    return scan if size >= cores * split else scan.repartition(cores)
+    return scan if size >= cores * split or len(scan._jdf.inputFiles()) >= cores else scan.repartition(cores)
 
 
 def blocked_join(left: DataFrame, right: DataFrame, key: list[str], block: int = 2000) -> DataFrame:
