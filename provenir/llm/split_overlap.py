@@ -40,11 +40,11 @@ from provenir.llm import _text as X
 from provenir.runtime import blocked_join, cut, spread, table
 
 #: Mean length of a chunk and length of the rolling window, in tokens.
-MEAN_CHUNK, WINDOW = 4, 3
+MEAN_CHUNK, WINDOW = 6, 3
 #: Least likeness of a pair, on runs of three tokens.
 THRESHOLD = 0.7
 #: Texts with more distinct runs than SHORT have chunks, those with up to LONG all their runs. LONG is SHORT over THRESHOLD.
-SHORT, LONG = 90, 129
+SHORT, LONG = 120, 172
 #: Share of a text with chunks whose commonest chunks are left out of the join.
 DROP = 0.1
 #: Least number of equal signature bits of 128. At likeness 0.7 the mean is 109 with a standard deviation of 4.0.
