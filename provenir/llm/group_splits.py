@@ -2,19 +2,22 @@
 
 Lines are tied where their checkpoints carry the same human function hash,
 whatever its spelling; groups are the connected components. A group is never
-torn. Groups heavier than 1 / GIANTS of all records are at most GIANTS in
-number; they are placed first, one by one, where their buckets are most
-wanted. The others are dealt into cells of about CELL groups with the same
-leading bucket. In a cell the largest-differencing method merges, again and
-again, the two partial partitions with the widest spread, heavy bins with
-light ones, until BINS nearly equal bins are left; whole bins then go to the
-splits in proportion to what each still wants of the cell's bucket, and are
-moved or exchanged while that brings the cell nearer to its share of all buckets.
+torn. Groups are dealt into cells of about CELL groups; leading buckets with
+that many groups have cells of their own, the others share cells. In a cell
+the largest-differencing method merges, again and again, the two partial
+partitions with the widest spread, heavy bins with light ones, until nearly
+equal bins are left; whole bins then go to the splits in proportion to what
+each still wants of the cell's bucket, and are moved or exchanged while that
+brings the cell nearer to its share of all buckets.
+
+Only a group that outweighs a bin of its cell, and holds more than
+1 / GIANTS of all records, so that one cell couldn't make up for it, is placed
+before, where its buckets are most wanted. There are at most GIANTS of them.
 
 Rows without line_no or tag are no records; records delivered twice count
 once. A line without a readable hash is a group of its own; a null bucket is
 a bucket like any other. Splits with a null or negative share get nothing,
-and shares are taken relative to their sum.
+and shares are taken relative to their sum. Without a target no line has a split.
 """
 
 from __future__ import annotations
@@ -31,8 +34,13 @@ from pyspark.sql.window import Window
 from provenir.llm._graph import components
 from provenir.runtime import cut, table
 
-#: Bins of a cell, groups a cell is meant to hold, and the bound of the number of groups placed one by one.
-BINS, CELL, GIANTS = 40, 4000, 1000
+#: Least and most bins of a cell, groups a cell is meant to hold, and the bound of the number of groups placed one by one.
+FEWEST, BINS, CELL, GIANTS = 10, 40, 4000, 1000
+
+
+def bin_count(groups: float) -> int:
+    """Bins of a cell of so many groups: enough for the splits' shares, several groups to a bin where there are."""
+    return int(min(BINS, max(FEWEST, groups // 4)))
 
 
 def _hash(column: str) -> F.Column:
@@ -79,7 +87,7 @@ def _deal(wanted: np.ndarray, bins: int, turn: float) -> np.ndarray:
     """A split for each bin in proportion to wanted; turn in [0, 1) moves the rounding from cell to cell."""
     edges = np.cumsum(wanted / wanted.sum()) if wanted.sum() > 0 else np.ones(len(wanted))
     spots = ((np.arange(bins) + turn) / bins) % 1.0
-    order = np.argsort(np.random.default_rng(bins).random(bins))  # light and heavy bins alike to every split
+    order = np.random.default_rng(bins).permutation(bins)  # light and heavy bins alike to every split
     return np.searchsorted(edges[:-1], spots, side="right")[order]
 
 
@@ -151,33 +159,41 @@ def assign_splits(records: DataFrame, targets: DataFrame) -> DataFrame:
     names, share = [s for s, _ in shares], np.array([x for _, x in shares])
     share = share / share.sum()
 
-    heavy = groups.where(F.col("weight") * GIANTS > total)
-    giants = heavy.collect()
-    place, wants = _place_giants(giants, totals, share)
-
-    light = groups.where(F.col("weight") * GIANTS <= total)
-    counts = {r["lead"]: r["n"] for r in light.groupBy("lead").agg(F.count("*").alias("n")).collect()}
-    cells = F.create_map(*[F.lit(x) for b, n in counts.items() for x in (b, math.ceil(n / CELL))]) if counts else F.create_map(F.lit(""), F.lit(1))
-    dealt = light.withColumn("cell", F.pmod(F.xxhash64("group_line_no"), F.element_at(cells, F.col("lead"))))
+    # (groups, records) by the leading bucket, a row a bucket; leads with few groups share cells
+    sizes = {r["lead"]: (r["n"], r["w"]) for r in groups.groupBy("lead").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    pools: dict[str | None, tuple[int, int]] = {}
+    for lead, (n, w) in sizes.items():
+        own = lead if n >= CELL else None
+        pools[own] = tuple(x + y for x, y in zip(pools.get(own, (0, 0)), (n, w)))
+    cells = {lead: math.ceil(n / CELL) for lead, (n, _) in pools.items()}
+    outweighs = {lead: max(total / GIANTS, w / cells[lead] / bin_count(n / cells[lead])) for lead, (n, w) in pools.items()}
+    of_lead = lambda values: F.element_at(F.create_map(*[F.lit(x) for lead in sizes for x in (lead, values[lead if lead in pools else None])]), F.col("lead"))
+    groups = groups.withColumn("giant", F.col("weight") > of_lead(outweighs))
+    place, wants = _place_giants(groups.where("giant").collect(), totals, share)
+    pool = F.when(F.col("lead").isin([x for x in pools if x is not None]), F.col("lead"))
+    dealt = groups.where("not giant").select("*", pool.alias("pool"), F.pmod(F.xxhash64("group_line_no"), of_lead(cells)).alias("cell"))
 
     def balance(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["weight", "group_line_no"], ascending=[False, True])
-        bins = difference(part["weight"].tolist(), BINS)
-        turn = (key[1] * 0.6180339887498949 + sum(map(ord, key[0])) * 0.3819660112501051) % 1.0
+        count = bin_count(len(part))
+        bins = difference(part["weight"].tolist(), count)
+        turn = (key[1] * 0.6180339887498949 + sum(map(ord, key[0] or "")) * 0.3819660112501051) % 1.0
         column = {b: i for i, b in enumerate(sorted(totals))}
-        held = np.zeros((BINS, len(column)))
+        held = np.zeros((count, len(column)))
         buckets = part["buckets"].tolist()
         for row, items in zip(held, bins):
             for x in (x for i in items for x in buckets[i]):
                 row[column[x["bucket"]]] += x["n"]
-        wanted = wants[key[0]] if wants[key[0]].sum() > 0 else share
+        mix = held.sum(axis=0)
+        wanted = sum((mix[i] * wants[b] / max(1.0, wants[b].sum()) for b, i in column.items()), np.zeros(len(share)))
+        wanted = wanted if wanted.sum() > 0 else share
         splits = np.empty(len(part), np.int64)
-        for items, s in zip(bins, settle(held, _deal(wanted, BINS, turn), wanted / wanted.sum())):
+        for items, s in zip(bins, settle(held, _deal(wanted, count, turn), wanted / wanted.sum())):
             splits[items] = s
         return pd.DataFrame({"group_line_no": part["group_line_no"].to_numpy(), "split": [names[s] for s in splits]})
 
     kind = dict(lines.dtypes)["group_line_no"]
-    chosen = dealt.groupBy("lead", "cell").applyInPandas(balance, f"group_line_no {kind}, split string")
+    chosen = dealt.groupBy("pool", "cell").applyInPandas(balance, f"group_line_no {kind}, split string")
     if place:
         chosen = chosen.union(records.sparkSession.createDataFrame([(g, names[s]) for g, s in place.items()], f"group_line_no {kind}, split string"))
     return lines.select("line_no", "group_line_no").distinct().join(chosen, "group_line_no").select("line_no", "group_line_no", "split")
@@ -188,13 +204,31 @@ def _checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tied_lines(_checkpoints(spark, sf_dir))
+    """The lines that the assignment keeps together with others."""
+    assigned = p6_assignment(spark, sf_dir)
+    return assigned.withColumn("lines", F.count("*").over(Window.partitionBy("group_line_no"))).where("lines > 1").select("line_no", "group_line_no")
 
 
 def p6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_splits(_checkpoints(spark, sf_dir), table(spark, sf_dir, "split_targets"))
 
 
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every assignment must keep: each line once and with a split, no torn group, and shares within 3 % of all records.
+
+    A split may miss its share by the heaviest group besides.
+    """
+    placed = cut(p6_assignment(spark, sf_dir), "p6-placed")
+    rows = _checkpoints(spark, sf_dir).where("line_no is not null and tag is not null").select("line_no", "tag").distinct().join(placed, "line_no")
+    heaviest = rows.groupBy("group_line_no").agg(F.count("*").alias("n")).agg(F.max("n").alias("heaviest"))
+    parts = rows.groupBy("split").agg(F.count("*").alias("n"))
+    targets = table(spark, sf_dir, "split_targets").select("split", "target_share")
+    off = targets.join(parts, "split", "left").crossJoin(rows.agg(F.count("*").alias("total"))).agg(F.max(F.abs(F.coalesce("n", F.lit(0)) - F.col("target_share") * F.col("total"))).alias("off"), F.max("total").alias("total"))
+    torn = placed.groupBy("group_line_no").agg(F.count_distinct("split").alias("splits")).agg(F.count_if(F.col("splits") > 1).alias("torn"))
+    whole = placed.agg(F.count("*").alias("lines"), F.count_distinct("line_no").alias("distinct_lines"), F.count_if(F.col("split").isNull()).alias("without_split"))
+    return whole.crossJoin(torn).crossJoin(off).crossJoin(heaviest).select("lines", "distinct_lines", "without_split", "torn", (F.col("off") <= F.col("total") * 0.03 + F.col("heaviest")).cast("int").alias("shares_met"))
+
+
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per bucket (null for all) and split: records, their share of the bucket, and the target."""
     records = _checkpoints(spark, sf_dir)
