@@ -9,8 +9,10 @@ moves the probabilities through the null space of the balancing constraints
 (tokens and documents), in cells of about CELL documents at a time, until in
 each cell at most two documents are open; the open ones are dealt into cells
 again, round after round, until a source has one cell. The landing there
-takes the rounding nearest to the tokens wanted. So no probability is rounded
-at random and a source misses its tokens by less than its largest document.
+takes the rounding nearest to the tokens wanted, so a source misses its tokens
+by less than its largest document. The coins of the flight are hashes of the
+seed and the documents' ids: a run repeats exactly, and over seeds a
+document's probability is kept.
 
 Documents with null doc_id or source, without tokens, or of a source without
 target are not used; a null or negative share or repeat limit counts as 0.
@@ -67,31 +69,43 @@ def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     return spread(kept).mapInArrow(work, "doc_id bigint, source string, tokens bigint")
 
 
-def flight(tokens: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """The chances after the flight phase: all 0 or 1 but for two at most, tokens and documents kept in sum."""
+def flight(tokens: np.ndarray, chance: np.ndarray, names: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
+    """The chances after the flight phase: all 0 or 1 but for two at most, tokens and documents kept in sum.
+
+    names are the documents' ids, from which with seed the coins are made; their numbers by default.
+    """
     chance = chance.astype(float).copy()
-    waiting = np.flatnonzero((chance > _EPS) & (chance < 1 - _EPS)).tolist()[::-1]
-    load = tokens / max(1.0, float(np.mean(tokens)) if len(tokens) else 1.0)
+    marks = (np.arange(len(chance)) if names is None else names).astype(np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = (marks + np.uint64(seed % 2**32 + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    coins = ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(11)).astype(float) / 2**53
+    load = (tokens / max(1.0, float(np.mean(tokens)) if len(tokens) else 1.0)).tolist()
+    waiting = [k for k in np.flatnonzero((chance > _EPS) & (chance < 1 - _EPS)).tolist()[::-1]]
+    p, coin = chance.tolist(), coins.tolist()
     active: list[int] = []
     while True:
         while len(active) < 3 and waiting:
             active.append(waiting.pop())
         if len(active) < 3:
-            return chance
+            return np.array(p)
         a, b, c = active
         # orthogonal to (1, 1, 1) and to the loads: keeps the documents and the tokens
-        u = np.array([load[b] - load[c], load[c] - load[a], load[a] - load[b]])
-        if abs(u).max() < _EPS:
-            u = np.array([1.0, -1.0, 0.0])
-        p = chance[active]
-        up = np.divide(np.where(u > 0, 1 - p, -p), u, out=np.full(3, np.inf), where=abs(u) > _EPS).min()
-        down = np.divide(np.where(u > 0, p, p - 1), u, out=np.full(3, np.inf), where=abs(u) > _EPS).min()
-        # the martingale step of the cube, with its coin taken from the numbers of the documents
-        coin = ((a * 2654435761 + b * 40503 + c * 97) % 1000003) / 1000003
-        p = p + up * u if coin < down / (up + down) else p - down * u
-        p[p < _EPS], p[p > 1 - _EPS] = 0.0, 1.0
-        chance[active] = p
-        active = [k for k, x in zip(active, p) if 0.0 < x < 1.0]
+        u = (load[b] - load[c], load[c] - load[a], load[a] - load[b])
+        if max(map(abs, u)) < _EPS:
+            u = (1.0, -1.0, 0.0)
+        up = down = math.inf
+        for k, x in zip(active, u):
+            if x > _EPS:
+                up, down = min(up, (1 - p[k]) / x), min(down, p[k] / x)
+            elif x < -_EPS:
+                up, down = min(up, p[k] / -x), min(down, (1 - p[k]) / -x)
+        # the martingale step of the cube; the newest document's coin decides
+        step = up if coin[c] < down / (up + down) else -down
+        for k, x in zip(active, u):
+            v = p[k] + step * x
+            p[k] = 0.0 if v < _EPS else 1.0 if v > 1 - _EPS else v
+        active = [k for k in active if 0.0 < p[k] < 1.0]
 
 
 def landing(tokens: np.ndarray, chance: np.ndarray) -> np.ndarray:
@@ -105,19 +119,19 @@ def landing(tokens: np.ndarray, chance: np.ndarray) -> np.ndarray:
     return chance
 
 
-def _cell(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("doc_id")
-    return part.assign(chance=flight(part["tokens"].to_numpy(float), part["chance"].to_numpy(float)))[["source", "doc_id", "tokens", "chance"]]
-
+def balanced_choice(units: DataFrame, seed: int = 0) -> DataFrame:
+    """source, doc_id, tokens and chosen (0 or 1) from units (source, doc_id, tokens, chance)."""
+    schema = "source string, doc_id bigint, tokens bigint, chance double"
 
-def _last_cell(part: pd.DataFrame) -> pd.DataFrame:
-    flown = _cell(part)
-    return flown.assign(chance=landing(flown["tokens"].to_numpy(float), flown["chance"].to_numpy(float)))
+    def cell(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("doc_id")
+        after = flight(part["tokens"].to_numpy(float), part["chance"].to_numpy(float), part["doc_id"].to_numpy(), seed)
+        return part.assign(chance=after)[["source", "doc_id", "tokens", "chance"]]
 
+    def last_cell(part: pd.DataFrame) -> pd.DataFrame:
+        flown = cell(part)
+        return flown.assign(chance=landing(flown["tokens"].to_numpy(float), flown["chance"].to_numpy(float)))
 
-def balanced_choice(units: DataFrame) -> DataFrame:
-    """source, doc_id, tokens and chosen (0 or 1) from units (source, doc_id, tokens, chance)."""
-    schema = "source string, doc_id bigint, tokens bigint, chance double"
     done: list[DataFrame] = []
     turn = 0
     while True:
@@ -125,9 +139,12 @@ def balanced_choice(units: DataFrame) -> DataFrame:
         if not counts:
             break
         last = all(n <= CELL for n in counts.values())
-        cells = F.create_map(*[F.lit(x) for s, n in counts.items() for x in (s, math.ceil(n / CELL))])
+        sizes = {s: math.ceil(n / CELL) for s, n in counts.items()}
+        cells = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, n)])
         dealt = units.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.element_at(cells, F.col("source"))))
-        moved = dealt.groupBy("source", "cell").applyInPandas(_last_cell if last else _cell, schema)
+        # a number of partitions is asked for, as few bytes would otherwise bring all cells into one task
+        parts = min(sum(sizes.values()), 4 * units.sparkSession.sparkContext.defaultParallelism)
+        moved = dealt.repartition(parts, "source", "cell").groupBy("source", "cell").applyInPandas(last_cell if last else cell, schema)
         if last:
             done.append(moved)
             break
@@ -141,7 +158,7 @@ def balanced_choice(units: DataFrame) -> DataFrame:
     return out.select("source", "doc_id", "tokens", F.col("chance").cast("int").alias("chosen"))
 
 
-def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None, path: str = TOKENIZER) -> DataFrame:
+def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None, path: str = TOKENIZER, seed: int = 0) -> DataFrame:
     """doc_id, source, tokens and repeats of every document used at least once.
 
     targets has source, target_share and max_repeats, a few rows that fit the driver.
@@ -159,7 +176,7 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
     rate = F.element_at(F.create_map(*[F.lit(x) for s, r in rates.items() for x in (s, float(r))]), F.col("source"))
     units = sized.where(F.col("source").isin(list(rates))).withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + _EPS).cast("int"))
     units = units.withColumn("chance", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
-    chosen = balanced_choice(units.where(F.col("chance") > _EPS).select("source", "doc_id", "tokens", "chance"))
+    chosen = balanced_choice(units.where(F.col("chance") > _EPS).select("source", "doc_id", "tokens", "chance"), seed)
     used = units.join(chosen.select("doc_id", "chosen"), "doc_id", "left").select("doc_id", "source", "tokens", (F.col("base") + F.coalesce("chosen", F.lit(0))).alias("repeats"))
     return used.where("repeats > 0")
 
@@ -180,3 +197,14 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "mix_targets").where("source is not null").select("source", "target_share", "max_repeats")
     return targets.join(by_source, "source", "left").select(
         "source", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("tokens", F.lit(0)) / F.lit(float(whole) or 1.0)).alias("share"), "target_share", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "max_repeats")
+
+
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source with a target: whether its share is met to 0.1 % and its largest document, no document is used too often, none comes twice and all are of the source."""
+    used = cut(_mixed(spark, sf_dir), "p9-checked")
+    own = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("own")).dropDuplicates(["doc_id"])
+    by_source = used.join(own, "doc_id").groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("given"), F.max("repeats").alias("most"), F.max("tokens").alias("largest"), F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.col("own") != F.col("source")).alias("foreign"))
+    whole = by_source.agg(F.sum("given").alias("whole"))
+    targets = table(spark, sf_dir, "mix_targets").where("source is not null").crossJoin(table(spark, sf_dir, "mix_targets").agg(F.sum("target_share").alias("shares")))
+    met = F.abs(F.col("given") - F.col("target_share") / F.col("shares") * F.col("whole")) <= 0.001 * F.col("whole") + F.col("largest")
+    return targets.join(by_source, "source", "left").crossJoin(whole).select("source", met.cast("int").alias("share_met"), (F.col("most") <= F.col("max_repeats")).cast("int").alias("repeats_kept"), ((F.col("rows") == F.col("ids")) & (F.col("foreign") == 0)).cast("int").alias("ids_kept"))

