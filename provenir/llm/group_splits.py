@@ -40,7 +40,7 @@ FEWEST, BINS, CELL, GIANTS = 10, 40, 4000, 1000
 
 def bin_count(groups: float) -> int:
     """Bins of a cell of so many groups: enough for the splits' shares, several groups to a bin where there are."""
-    return int(min(BINS, max(FEWEST, groups // 4)))
+    return int(min(BINS, max(FEWEST, groups // 2)))
 
 
 def _hash(column: str) -> F.Column:
