@@ -6,9 +6,16 @@ Reed-Solomon code of length 12 and dimension 2 over GF(q). Its words, the
 lines through two points, are the anchors; the code covers the whole space
 with radius 10. A fingerprint is copied to every anchor within that radius,
 which are the lines through two of its symbols, so two fingerprints meet at
-an anchor exactly if they differ in at most 10 places. At the anchor the
-128-bit signatures of the two texts are compared, and each pair is put out
-only at the first anchor they share. What is left is checked on whole texts.
+an anchor exactly if they have two symbols in common (or, by a chance of about
+1 in q, two lines in common without). At the anchor the 128-bit signatures of
+the two texts are compared, and each pair is put out only at the first anchor
+they share. What is left is checked on whole texts.
+
+Replication to radius plus threshold, as for a binary code, can't serve
+here: likes at 0.7 differ in three tenths of their symbols, and beyond the
+radius every anchor of the code would have to be taken (README has figures
+for a binary code). With anchors this far apart meeting within the radius is
+the same rule as banding the minimum hashes in all pairs of places.
 
 Null and blank texts and null keys are no records. A text of fewer than three
 tokens has no run of three and is like no other text. Rows delivered twice
@@ -26,7 +33,7 @@ from pyspark.sql import functions as F
 
 from provenir.llm import _text as X
 from provenir.llm._graph import components
-from provenir.runtime import cut, spread, table
+from provenir.runtime import blocked_join, cut, spread, table
 
 #: The least likeness of a pair, on runs of three tokens.
 THRESHOLD = 0.7
@@ -37,9 +44,12 @@ PRIME = 2**31 - 1
 #: Runs of this many tokens make the fingerprint of texts with more than SHORT distinct tokens' runs,
 #: runs of three that of texts with up to LONG; a text between gets both, so likes always share a kind.
 WIDE, SHORT, LONG = 8, 40, 60
-#: Least number of equal signature bits of 128. At likeness 0.75 the mean is 112 and 92 lies over five
-#: standard deviations below; unlike texts (likeness 0.05) have 67 with a standard deviation of 6.
-AGREE = 92
+#: Least number of equal signature bits of 128. Two texts differ in no more bits than they have different runs, so
+#: texts of up to 130 runs lose nothing; beyond, likes at 0.7 have 109 with a standard deviation of 4, so 88 lies five
+#: below. Unlike texts (likeness 0.05) have 67 with a standard deviation of 6.
+AGREE = 88
+#: Fingerprints of an anchor that one task compares with all others of it.
+BLOCK = 2000
 
 _SYMBOLS = np.random.default_rng(7).integers(1, 2**63, (2, LENGTH), dtype=np.uint64) | np.uint64(1)
 _FINGERPRINTS = "key string, field string, doc binary, kind int, symbols array<bigint>, s1 bigint, s2 bigint"
@@ -65,7 +75,7 @@ def _distinct(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in X.slices(batches, "text"):
         hashes, offsets = X.token_hashes(batch.column("text").to_pylist())
         threes, at3 = X.runs(hashes, offsets, 3)
         wides, at8 = X.runs(hashes, offsets, WIDE)
@@ -108,10 +118,16 @@ def candidates(prints: DataFrame) -> DataFrame:
     lines = lines.withColumn("i", i).withColumn("rise", F.pmod(rise, F.lit(PRIME))).withColumn("inv", F.element_at(inverse, (j - i).cast("int")))
     lines = lines.withColumn("slope", F.pmod(F.expr("rise * inv"), F.lit(PRIME))).withColumn("base", F.pmod(F.expr("x % 4294967296 - slope * i"), F.lit(PRIME)))
     lines = lines.select("doc", "field", "kind", "s1", "s2", "live", "x", "y", "slope", "base")
-    a, b = lines.alias("a"), lines.alias("b")
-    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("field", "kind", "slope", "base", "x", "y")] + [F.col("a.doc") < F.col("b.doc")])
+    anchor = ["field", "kind", "slope", "base"]
+    # anchors with one fingerprint are done; hot ones are dealt into blocks, each compared with the whole anchor
+    size = lines.groupBy(*anchor).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    lines = cut(lines.join(size, anchor), "p7-anchors")
+    a = lines.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).alias("a")
+    b = lines.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
+    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*anchor, "block"]] + [F.col("a.doc") < F.col("b.doc")])
     met = met.where(F.expr(f"bit_count(a.s1 ^ b.s1) + bit_count(a.s2 ^ b.s2) <= {X.SIGNATURE_BITS - AGREE}"))
-    met = met.where(F.expr("slice(array_intersect(a.live, b.live), 1, 2) = array(a.x, a.y)"))
+    common = F.expr("slice(array_intersect(a.live, b.live), 1, 2)")
+    met = met.where((F.size(common) < 2) | (common == F.array("a.x", "a.y")))
     return met.select(F.col("a.field").alias("field"), F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")).distinct()
 
 
@@ -127,15 +143,15 @@ def like_pairs(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     texts = records.where(X.has_token(F.col("text"))).select(X.text_digest(F.col("field").cast("string"), F.col("text")).alias("doc"), "text")
     texts = cut(texts.join(needed, "doc", "left_semi").dropDuplicates(["doc"]), "p7-texts")
     both = pairs.join(texts.withColumnsRenamed({"doc": "doc_a", "text": "text_a"}), "doc_a").join(texts.withColumnsRenamed({"doc": "doc_b", "text": "text_b"}), "doc_b")
-    alike = cut(X.with_likeness(spread(both), "text_a", "text_b").where(F.col("likeness") >= threshold), "p7-alike")
+    alike = cut(X.with_likeness(both, "text_a", "text_b").where(F.col("likeness") >= threshold), "p7-alike")
     return prints.select("key", "field", "doc").distinct(), alike
 
 
 def member_pairs(members: DataFrame, alike: DataFrame) -> DataFrame:
     """(field, key_a, key_b) for all members of like or equal texts with different keys, the smaller key first."""
-    one, other = members.withColumnsRenamed({"doc": "doc_a", "key": "k"}), members.select(F.col("doc").alias("doc_b"), F.col("key").alias("l"))
-    same = one.join(other.withColumnRenamed("doc_b", "doc_a"), "doc_a").where("k < l")
-    cross = alike.select("doc_a", "doc_b").join(one, "doc_a").join(other, "doc_b").where("k <> l")
+    one, other = members.select(F.col("doc").alias("doc_a"), F.col("key").alias("k"), "field"), members.select(F.col("doc").alias("doc_b"), F.col("key").alias("l"))
+    same = blocked_join(one, other.withColumnRenamed("doc_b", "doc_a"), ["doc_a"]).where("k < l")
+    cross = blocked_join(other, blocked_join(one, alike.select("doc_a", "doc_b"), ["doc_a"]), ["doc_b"]).where("k <> l")
     found = same.select("field", "k", "l").union(cross.select("field", "k", "l"))
     return found.select("field", F.least("k", "l").alias("key_a"), F.greatest("k", "l").alias("key_b")).distinct()
 
@@ -167,5 +183,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return member_pairs(*like_pairs(function_records(spark, sf_dir)))
 
 
+def p7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of like but different texts by their representatives, the least keys that have them; p7_groups has the membership."""
+    members, alike = like_pairs(function_records(spark, sf_dir))
+    least = members.groupBy("doc").agg(F.min("key").alias("key"))
+    found = alike.join(least.withColumnsRenamed({"doc": "doc_a", "key": "k"}), "doc_a").join(least.withColumnsRenamed({"doc": "doc_b", "key": "l"}), "doc_b")
+    return found.select("field", F.least("k", "l").alias("key_a"), F.greatest("k", "l").alias("key_b"), F.round("likeness", 6).alias("likeness"))
+
+
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(*like_pairs(function_records(spark, sf_dir)))

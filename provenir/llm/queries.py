@@ -8,7 +8,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         split_overlap.p1_found, split_overlap.p1_report, truncation.p2_found, truncation.p2_report, syntax.p3_found, syntax.p3_files, syntax.p3_report, answers.p4_found, answers.p4_report,
-        file_origin.p5_found, file_origin.p5_report, group_splits.p6_found, group_splits.p6_assignment, group_splits.p6_report, group_splits.p6_invariants, near_duplicates.p7_found, near_duplicates.p7_groups,
+        file_origin.p5_found, file_origin.p5_report, group_splits.p6_found, group_splits.p6_assignment, group_splits.p6_report, group_splits.p6_invariants, near_duplicates.p7_found, near_duplicates.p7_links, near_duplicates.p7_groups,
         leakage.p8_found, leakage.p8_spans, leakage.p8_report, mixing.p9_selection, mixing.p9_report, mixing.p9_checks, personal_data.p10_found, personal_data.p10_redacted, personal_data.p10_report,
     )
 }
