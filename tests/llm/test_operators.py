@@ -241,6 +241,29 @@ def test_file_classes(spark):
     assert got == {("a/x", "lib/thing.py"): "vendored", ("b/y", "src/copy.py"): "vendored", ("c/z", "own.py"): None, ("c/z", "node_modules/k/i.js"): "vendored", ("c/z", "data.py"): "data_blob", ("c/z", "g.py"): "generated", ("c/z", "t.py"): None, ("c/z", "m.js"): "minified", ("c/z", "no_text_pb2.py"): "generated", ("d/w", "third_party/k.py"): "vendored", ("d/w", "src/k.py"): None}
 
 
+def test_containment_is_exact_where_lines_stand_in_many_repositories(spark, monkeypatch):
+    rng = random.Random(21)
+    upstream = [f"    upstream_step_{i}(argument_{i * 7 % 31}, limit={i})" for i in range(50)]
+    files = [("up/stream", "lib.py", upstream)]
+    for k in range(3):  # the same lines, scattered over larger files of other repositories
+        files.append((f"mix/{k}", "m.py", rng.sample(upstream, 17) + [f"    mixed_{k}_{i}(value)  # own line of {k}" for i in range(90)]))
+    for k in range(20):  # 0.6 of each copy is in the upstream and nowhere else as much
+        files.append((f"user/{k}", f"c{k}.py", rng.sample(upstream, 30) + [f"    edited_{k}_{i}(argument_{i}, limit={i})" for i in range(20)]))
+    files.append(("own/code", "o.py", upstream[:12] + [f"    handwritten_{i}(argument, other)" for i in range(30)]))
+    want = {}
+    for r, p, lines in files:
+        mine = {x.strip(): len(x.replace(" ", "")) for x in lines}
+        share = max(sum(n for x, n in mine.items() if x in {y.strip() for y in other}) / sum(mine.values()) for q, _, other in files if q != r)
+        want[r] = "vendored" if share >= file_origin.CONTAINED else None
+    df = spark.createDataFrame([(r, p, "\n".join(x), "2024", 1) for r, p, x in files], "repo_name string, relative_path string, file_text string, snapshot_time string, snapshot_order bigint")
+    monkeypatch.setattr(file_origin, "composition", lambda text: None)
+    none = spark.createDataFrame([], "repo_name string, relative_path string")
+    for number in (4, 1):  # whatever the first look-up finds
+        monkeypatch.setattr(file_origin, "REPRESENTATIVES", number)
+        got = {r["repo_name"]: r["file_class"] for r in file_origin.classified(df, none).where("file_class is null or file_class = 'vendored'").collect()}
+        assert all(got.get(r) == c for r, c in want.items() if r in got) and sum(got.get(f"user/{k}") == "vendored" for k in range(20)) == 20 and got.get("own/code") is None
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=120), st.lists(st.integers(1, 4), min_size=1, max_size=4))
 def test_fm_index_finds_every_occurrence(text, phrase):
