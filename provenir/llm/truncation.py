@@ -8,13 +8,16 @@ names the statement or sentence the text ends with. An output is cut if
 * the unit is open: a string, bracket, comment or escape isn't closed, a
   broken character or a cut mark stands last, a statement lacks its rest or a
   block its body, or the last word is the beginning of a name used before;
-* or its kind of ending is no terminator of its source: about as many whole
-  outputs end in a line end as without one, cut outputs hardly ever do, so
-  among endings without line end the share of whole ones can be told from the
-  count of those with one. The baseline is the source's own where it has
-  MIN_ROWS such endings, that of all sources otherwise;
-* or it fills its source's field (the length that stands out at the end of
-  the source's lengths) and doesn't end in a terminator with a line end.
+* or its kind of ending is no terminator of its source: every text is cut once
+  more at a place of its own, and the endings so made tell how cuts spread over
+  the kinds. The open endings of a source then tell how many cuts it has, and
+  so how many of each other kind are to be expected; what a kind has beyond
+  them is whole. A kind without line end must besides fit the same kind with
+  one, by the share of the source's sure terminators that go without. The
+  baseline of a source leans on that of all by LEAN texts, whatever its size;
+* or it fills its source's field (a length that stands out among those just
+  below it, near the end of the source's lengths) and doesn't end in a
+  terminator with a line end.
 
 body_tokens decides where the baseline is in doubt. Null and empty outputs
 are whole. Rows delivered twice count once; a null experiment is a source of its own.
@@ -23,6 +26,7 @@ are whole. Rows delivered twice count once; a null experiment is a source of its
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,15 +34,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provenir.llm._text import slices
 from provenir.runtime import cut, spread, table
 
-#: Rows of an ending that a source needs for a baseline of its own.
-MIN_ROWS = 30
+#: Texts of all sources that a source's own baseline is filled up with.
+LEAN = 30
 #: An ending whose whole share is below SURE_CUT is no terminator; up to SURE_WHOLE body_tokens decides.
 SURE_CUT, SURE_WHOLE = 0.25, 0.6
-#: A field limit is a length with this many rows at least, so many times as many as a usual length just below,
-#: and at most this share of the source's rows beyond it.
-LIMIT_ROWS, LIMIT_RISE, LIMIT_BEYOND = 8, 6.0, 0.01
+#: A field limit is a length that at least this share of its source's rows have, so many times as many as a length in
+#: the tenth below it has on average and so many deviations of that number more, with at most this share of the rows beyond.
+#: Of the texts that fill a field at least LIMIT_OPEN are open, as texts of a usual length are not.
+LIMIT_SHARE, LIMIT_RISE, LIMIT_SURE, LIMIT_BEYOND, LIMIT_OPEN = 0.002, 6.0, 6.0, 0.01, 0.3
 
 _FENCE = re.compile(r"^[ \t]*```[\w+-]*[ \t]*\r?$", re.MULTILINE)
 _CODE = re.compile(
@@ -61,6 +67,9 @@ _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]`*_]*\Z")
 _HEADER = re.compile(r"(?:if|elif|else|for|while|try|except|finally|with|def|class|async|match|case)\b")
 _NEEDS_MORE = frozenset("return_ and or not in is if else lambda for import from as raise_ assert del with while elif except def class new throw case".split())
 _CUT_MARK = re.compile(r"(?:…|�|\[truncated\]|\[cut\]|<truncated>)\s*\Z")
+# The first bytes of a UTF-8 character without the rest: lone surrogates, or read as Latin-1 a lead sign with fewer signs after it than it asks for.
+_BROKEN_SIGN = re.compile(r"(?:[\ud800-\udfff]|[\u00c2\u00c3]|[\u00e0-\u00ef][\u0080-\u00a0\u00a2-\u00aa\u00ac-\u00ba\u00bc-\u00be]|[\u00f0-\u00f4][\u0080-\u00be]{1,2})\Z")
+_OPEN_MARKUP = re.compile(r"<[A-Za-z/!][^<>]*\Z|&#?\w{0,8}\Z|\\(?:x[0-9a-fA-F]?|u[0-9a-fA-F]{0,3})?\Z")
 
 
 def is_prose(text: str) -> bool:
@@ -209,14 +218,16 @@ def ending(text: str | None, header: str = "") -> tuple[str, str, bool]:
         return "answer", "marked", False
     unit, kind, rest = units(text)
     body = text.rstrip("\r\n")
-    if _CUT_MARK.search(text) or re.search(r"[^\s.]\.\.\.\s*\Z", text):
+    if _CUT_MARK.search(text) or _BROKEN_SIGN.search(text) or re.search(r"[^\s.]\.\.\.\s*\Z", text):
         if unit == "answer" and kind == "code" and not braced(rest) and _python_after(rest) >= 0:
             unit = "after"
         return unit, "mark", True
     if not rest.strip():
         return unit, "fence", False
     if kind == "prose":
-        return unit, "sentence" if _SENTENCE_END.search(body.rstrip()) else "phrase", False
+        # an open bracket, quote or tag makes a kind of ending of its own, which the baseline judges
+        inside = rest.count("(") > rest.count(")") or rest.count("`") % 2 or rest.count("“") > rest.count("”") or _OPEN_MARKUP.search(body)
+        return unit, ("sentence" if _SENTENCE_END.search(body.rstrip()) else "phrase") + (" inside" if inside else ""), False
     if unit == "answer" and not braced(rest):
         after = _python_after(rest)
         if after >= 0:
@@ -260,15 +271,27 @@ def _begun(name: str, before: str, header: str) -> bool:
     return name not in words and any(w.startswith(name) for w in words)
 
 
+def self_cut(text: str) -> str:
+    """The text cut at a place that its own hash names."""
+    return text[: 1 + zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(text) - 1)]
+
+
+_SEEN = "line_no int, tag string, experiment string, chars int, line_end boolean, missing boolean, unit string, class string, open boolean, probe_unit string, probe_class string, probe_open boolean, probe_line_end boolean"
+
+
 def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = []
+    for batch in slices(batches, "raw_output"):
+        found, probes = [], []
         for raw, clean, code in zip(*(batch.column(c).to_pylist() for c in ("raw_output", "clean_output", "agc_code"))):
             kept = (clean or "").strip()
-            found.append(ending(raw, (code or "").replace(kept, "") if kept else code or ""))
+            header = (code or "").replace(kept, "") if kept else code or ""
+            found.append(ending(raw, header))
+            piece = self_cut(raw) if raw and raw.strip() else None
+            probes.append((*ending(piece, header), piece.endswith("\n")) if piece else (None, None, None, None))
         arrays = [batch.column(c) for c in ("line_no", "tag", "experiment", "chars", "line_end", "missing")]
         made = [pa.array([x[0] for x in found]), pa.array([x[1] for x in found]), pa.array([x[2] for x in found])]
-        yield pa.RecordBatch.from_arrays([*arrays, *made], ["line_no", "tag", "experiment", "chars", "line_end", "missing", "unit", "class", "open"])
+        made += [pa.array([x[0] for x in probes], pa.string()), pa.array([x[1] for x in probes], pa.string()), pa.array([x[2] for x in probes], pa.bool_()), pa.array([x[3] for x in probes], pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*arrays, *made], [f.split()[0] for f in _SEEN.split(", ")])
 
 
 def cut_outputs(checkpoints: DataFrame) -> DataFrame:
@@ -284,34 +307,49 @@ def cut_outputs(checkpoints: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("raw_output", r"\n+$", "")).alias("chars"), F.coalesce(F.col("raw_output").endswith("\n"), F.lit(False)).alias("line_end"),
         F.coalesce(F.col("body_tokens") > spaces, F.lit(False)).alias("missing"),
     )
-    seen = spread(rows).mapInArrow(endings, "line_no int, tag string, experiment string, chars int, line_end boolean, missing boolean, unit string, class string, open boolean")
+    seen = spread(rows).mapInArrow(endings, _SEEN)
     seen = cut(seen.dropDuplicates(["line_no", "tag"]), "p2-endings")
 
-    lengths = seen.where("chars is not null").groupBy("experiment", "chars").agg(F.count("*").alias("n"))
+    lengths = seen.where("chars is not null").groupBy("experiment", "chars").agg(F.count("*").alias("n"), F.count_if("open").alias("open_there"))
+    # the tenth below a length, by running totals over the lengths (a source has few next to its rows)
     by_length = Window.partitionBy("experiment").orderBy("chars")
-    lengths = lengths.withColumns({
-        "below": F.sum("n").over(by_length.rangeBetween(-40, -1)) / 40,
-        "beyond": F.sum("n").over(by_length.rangeBetween(2, Window.unboundedFollowing)),
-        "all": F.sum("n").over(Window.partitionBy("experiment")),
-    })
-    limits = lengths.where(f"n >= {LIMIT_ROWS} and n >= {LIMIT_RISE} * coalesce(below, 0) and coalesce(beyond, 0) <= {LIMIT_BEYOND} * all")
+    lengths = lengths.withColumn("up_to", F.sum("n").over(by_length)).withColumn("all", F.sum("n").over(Window.partitionBy("experiment")))
+    spots = lengths.where((F.col("n") >= F.lit(LIMIT_SHARE) * F.col("all")) & (F.col("open_there") >= LIMIT_OPEN * F.col("n"))).where(F.col("all") - F.col("up_to") <= F.lit(LIMIT_BEYOND) * F.col("all"))
+    low = lengths.select(F.col("experiment").alias("e"), F.col("chars").alias("c"), F.col("n").alias("m"))
+    spots = spots.join(low, (F.col("e") == F.col("experiment")) & (F.col("c") < F.col("chars")) & (F.col("c") >= F.col("chars") * 0.9), "left").groupBy("experiment", "chars", "n").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("below"))
+    spots = spots.withColumn("mean", F.col("below") / F.greatest(F.lit(1.0), F.ceil(F.col("chars") * 0.1)))
+    limits = spots.where((F.col("n") >= LIMIT_RISE * F.col("mean")) & (F.col("n") - F.col("mean") >= LIMIT_SURE * F.sqrt(F.col("mean"))) & (F.col("n") >= 4))
     limits = limits.groupBy("experiment").agg(F.max_by("chars", "n").alias("limit"))
 
-    at_limit = seen.join(limits, "experiment", "left").withColumn("full", F.coalesce(F.abs(F.col("chars") - F.col("limit")) <= 0, F.lit(False)))
-    free = at_limit.where("not full and not open")
-    kinds = free.groupBy("experiment", "unit", "class").agg(F.count_if(F.col("line_end")).alias("with_end"), F.count_if(~F.col("line_end")).alias("without_end"))
-    everywhere = Window.partitionBy("unit", "class")
-    own = F.col("with_end") + F.col("without_end") >= MIN_ROWS
-    share = lambda w, wo: F.least(F.lit(1.0), w / (wo + 1))
-    kinds = kinds.withColumn("all_with", F.sum("with_end").over(everywhere)).withColumn("all_without", F.sum("without_end").over(everywhere))
-    kinds = kinds.select("experiment", "unit", "class", F.when(own, share(F.col("with_end"), F.col("without_end"))).otherwise(share(F.col("all_with"), F.col("all_without"))).alias("whole_share"))
-    judged = at_limit.join(kinds, ["experiment", "unit", "class"], "left").withColumn("whole_share", F.coalesce("whole_share", F.lit(0.0)))
+    at_limit = seen.join(F.broadcast(limits), "experiment", "left").withColumn("full", F.coalesce(F.col("chars") == F.col("limit"), F.lit(False)))
+    free = at_limit.where("not full and class not in ('nothing', 'marked')")
+    ending_of = ["experiment", "unit", "class", "line_end"]
+    has = free.where("not open").groupBy(*ending_of).agg(F.count("*").alias("n"))
+    cuts = seen.where("probe_class is not null").groupBy("experiment", F.col("probe_unit").alias("unit"), F.col("probe_class").alias("class"), F.col("probe_line_end").alias("line_end")).agg(F.count("*").alias("probes"), F.count_if(F.col("probe_open")).alias("probes_open"))
+    all_cuts = cuts.groupBy("unit", "class", "line_end").agg(F.sum("probes").alias("p"), F.sum("probes_open").alias("po"))
+    total = all_cuts.groupBy("unit").agg(F.sum("p").alias("tp"), F.sum("po").alias("tpo"))
+    own = cuts.groupBy("experiment", "unit").agg(F.sum("probes").alias("sp"), F.sum("probes_open").alias("spo"))
+    opened = free.groupBy("experiment", "unit").agg(F.count_if("open").alias("opened"))
+    # the tables below have a row for each unit or each kind of ending of a source
+    sources = opened.join(own, ["experiment", "unit"], "left").join(total, "unit", "left")
+    open_share = (F.coalesce("spo", F.lit(0)) + LEAN * F.coalesce(F.col("tpo") / F.col("tp"), F.lit(0.0))) / (F.coalesce("sp", F.lit(0)) + LEAN)
+    sources = sources.withColumn("cuts", F.col("opened") / F.greatest(open_share, F.lit(0.01)))
+    kinds = has.join(sources, ["experiment", "unit"]).join(cuts.select(*ending_of, "probes", "probes_open"), ending_of, "left").join(all_cuts, ["unit", "class", "line_end"], "left")
+    share_cut = (F.coalesce(F.col("probes") - F.col("probes_open"), F.lit(0)) + LEAN * F.coalesce((F.col("p") - F.col("po")) / F.col("tp"), F.lit(0.0))) / (F.coalesce("sp", F.lit(0)) + LEAN)
+    kinds = kinds.select(*ending_of, "n", F.greatest(F.lit(0.0), 1 - F.col("cuts") * share_cut / F.col("n")).alias("beyond_cuts"))
+    # how often the source's whole texts go without a line end, from its sure terminators; what a kind has without one must fit what it has with one
+    terminator = F.col("beyond_cuts") >= 0.9
+    ends = kinds.groupBy("experiment").agg(*((F.coalesce(F.sum(F.when(terminator & (F.col("line_end") == x), F.col("n"))), F.lit(0)) + 1).alias(f"ends_{x}".lower()) for x in (True, False)))
+    with_end = kinds.where("line_end").select("experiment", "unit", "class", F.col("n").alias("n_end"))
+    kinds = kinds.join(ends, "experiment").join(with_end, ["experiment", "unit", "class"], "left")
+    fits = F.when(~F.col("line_end"), (F.coalesce("n_end", F.lit(0)) + 1) * F.col("ends_false") / F.col("ends_true") / F.col("n")).otherwise(F.lit(1.0))
+    kinds = kinds.select(*ending_of, F.least(F.lit(1.0), "beyond_cuts", fits).alias("whole_share"))
+    judged = at_limit.join(kinds, ending_of, "left").withColumn("whole_share", F.coalesce("whole_share", F.lit(0.0)))
     ends = F.col("line_end") & (F.col("whole_share") >= SURE_WHOLE)
     verdict = (
         F.when(F.col("class").isin("nothing", "marked"), False)
         .when(F.col("open"), True)
         .when(F.col("full"), ~ends)
-        .when(F.col("line_end"), False)
         .when(F.col("whole_share") < SURE_CUT, True)
         .when(F.col("whole_share") < SURE_WHOLE, F.col("missing"))
         .otherwise(False)

@@ -211,6 +211,22 @@ def test_field_limit_and_endings_decide(spark):
     assert all(out[1000 + i] for i in range(20)) and not any(out[i] for i in range(200))
 
 
+def test_a_source_without_line_ends_is_whole(spark):
+    rng = random.Random(31)
+    whole = lambda i: f"    total = {i}\n    for row in rows:\n        total += row.weight_{rng.randrange(9)}\n    return total"
+    rows = [(i, "t02", "stripped", whole(i)) for i in range(200)] + [(300 + i, "t02", "plain", whole(i) + "\n" * (i % 2)) for i in range(200)]
+    rows += [(600 + i, "t02", "plain", whole(i)[: rng.randrange(8, 60)]) for i in range(100)]
+    df = spark.createDataFrame([(*r, "", "", None) for r in rows], "line_no int, tag string, experiment string, raw_output string, clean_output string, agc_code string, body_tokens int")
+    out = {r["line_no"]: r["cut"] for r in truncation.cut_outputs(df).collect()}
+    assert not any(out[i] for i in range(200)) and not any(out[300 + i] for i in range(200)) and sum(out[600 + i] for i in range(100)) > 75
+
+
+def test_broken_signs_and_markup_are_seen():
+    assert all(truncation.ending(t)[2] for t in ("He said it cost 5 \u00e2\u0082", "le caf\u00c3", "half a pair \ud83d", "lost \ufffd"))
+    assert not any(truncation.ending(t)[2] for t in ("Das ist ein langer Gruß", "Il y avait un café", "Oui, il est là", "It ends well."))
+    assert truncation.ending("See the note (it says more.")[1] == "sentence inside" and truncation.ending("The page holds <a href")[1] == "phrase inside"
+
+
 def small(name, columns):
     return ds.dataset(f"{SMALL}/{name}.parquet").to_table(columns=columns).to_pylist()
 
