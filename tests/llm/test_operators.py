@@ -224,7 +224,7 @@ def test_a_source_without_line_ends_is_whole(spark):
 def test_broken_signs_and_markup_are_seen():
     assert all(truncation.ending(t)[2] for t in ("He said it cost 5 \u00e2\u0082", "le caf\u00c3", "half a pair \ud83d", "lost \ufffd"))
     assert not any(truncation.ending(t)[2] for t in ("Das ist ein langer Gruß", "Il y avait un café", "Oui, il est là", "It ends well."))
-    assert truncation.ending("See the note (it says more.")[1] == "sentence inside" and truncation.ending("The page holds <a href")[1] == "phrase inside"
+    assert truncation.ending("See the long note at the end of this page (it says a lot more of the matter.")[1] == "sentence inside" and truncation.ending("The page of the project holds a link to it as <a href")[1] == "phrase inside"
 
 
 def small(name, columns):
