@@ -2,19 +2,20 @@
 
 A record's features are hashed word n-grams of its prose (comments, sentences
 and messages), the kind of ending that the stack automaton of the truncation
-operator finds, and pair features: how much work the answer does, which of its
-words the prompt doesn't have, which natural and programming languages the two
-are in. The training set is made from SAMPLE records: those that look whole
-are the good ones, and from each, defective ones are made up by emptying,
-truncating, refusing, copying the prompt and swapping the answer for one in
-another language. One logistic regression a defect is fitted on two thirds of
-them; its threshold is set on the rest. Scoring goes over all records whole.
-An exact check follows: an empty answer must do no work, a copy must have no
-word of its own, a refusal must do no work but raise, and so on.
-
-A record has one defect at most; where several are found the first of empty,
-refusal, other_language, echo and truncated counts. Records without candidate
-or with a null prompt are judged with an empty prompt. Rows delivered twice count once.
+operator finds and whether that operator calls the text cut, and pair features:
+how much work the answer does, which of its words the prompt doesn't have, which
+natural and programming languages the two are in, and five yes-or-no rules made of
+these. The training set is made from SAMPLE records: those that look whole are
+the good ones, also with the prompt before them or with something cut behind
+them, and from each, defective ones are made up by emptying, truncating, refusing,
+copying the prompt and swapping the answer for one in another language. One
+logistic regression a defect is fitted on two thirds of them; on the rest its
+score is calibrated to a probability (two parameters, by maximum likelihood).
+Scoring goes over all records whole. The score alone decides: a record has the
+most probable defect if that is at least SURE, or none.
+
+Records without candidate or with a null prompt are judged with an empty
+prompt. Rows delivered twice count once.
 """
 
 from __future__ import annotations
@@ -32,12 +33,15 @@ from pyspark.sql import functions as F
 
 from provenir.llm import _phrases as P
 from provenir.llm import truncation
+from provenir.llm._text import slices
 from provenir.runtime import cut, table
 
 DEFECTS = ("empty", "refusal", "other_language", "echo", "truncated")
 #: Records the classifier is fitted on, taken by the least hashes of their keys; buckets of the hashed n-grams.
 SAMPLE, BUCKETS = 1500, 1024
-_DENSE = 22
+#: Least calibrated probability of a defect.
+SURE = 0.5
+_DENSE = 27
 
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _DOCSTRING = re.compile(r"\"{3}([\s\S]*?)(?:\"{3}|\Z)|'{3}([\s\S]*?)(?:'{3}|\Z)|/\*+([\s\S]*?)(?:\*/|\Z)")
@@ -106,8 +110,9 @@ def answer_of(raw: str) -> str:
     return head.split("<|endoftext|>")[0]
 
 
-def features(prompt: str, raw: str | None, clean: str | None, full: bool, unit: str, kind: str, is_open: bool) -> tuple[np.ndarray, dict]:
-    """The feature vector of a record, and the facts for the exact check."""
+def features(prompt: str, raw: str | None, clean: str | None, full: bool, unit: str, kind: str, is_open: bool, was_cut: bool | None = None) -> tuple[np.ndarray, dict]:
+    """The feature vector of a record, and the facts its rules are made of; was_cut is the truncation operator's verdict."""
+    was_cut = is_open or full if was_cut is None else was_cut
     raw, clean = raw or "", clean or ""
     answer = answer_of(raw)
     prose = truncation.is_prose(answer)
@@ -132,8 +137,10 @@ def features(prompt: str, raw: str | None, clean: str | None, full: bool, unit:
         spoken, share = natural_language(words)
     foreign = bool(spoken) and spoken != (asked or "en") and len(words) >= 4 and share >= 0.15
     first_person = sum(w.lower() in ("i", "i'm", "i'd", "i've", "i’m", "my", "me", "we") for w in words)
+    facts = {"acts": len(acts), "fresh": len(fresh), "words": len(all_words), "swapped": swapped, "foreign": foreign, "stubs": len(stubs), "told": len(words), "spoken": spoken, "cut": was_cut and unit == "answer"}
     vector = np.zeros(_DENSE + BUCKETS, np.float32)
     vector[:_DENSE] = [
+        *(holds(d, facts) for d in DEFECTS),
         1.0, not acts, min(len(acts), 10) / 10, not answer.strip(), not all_words, bool(all_words) and not fresh, len(fresh) / max(1, len(all_words)), bool(stubs) and not acts, prose, swapped, foreign,
         share if foreign else 0.0, spoken in ("", "en"), bool(first_person), first_person / max(1, len(words)), is_open, full, unit == "answer", is_open and unit == "answer", full and unit == "answer", not clean.strip(), bool(remarks) and not acts and not notes,
     ]
@@ -145,11 +152,11 @@ def features(prompt: str, raw: str | None, clean: str | None, full: bool, unit:
     norm = float(np.sqrt((tail**2).sum()))
     if norm:
         tail /= norm
-    return vector, {"acts": len(acts), "fresh": len(fresh), "words": len(all_words), "swapped": swapped, "foreign": foreign, "stubs": len(stubs), "told": len(words), "spoken": spoken}
+    return vector, facts
 
 
 def holds(defect: str, facts: dict) -> bool:
-    """The exact check of a defect."""
+    """The rule of a defect, one feature among the others."""
     if defect == "empty":
         return not facts["acts"] and not facts["foreign"]
     if defect == "refusal":
@@ -158,7 +165,7 @@ def holds(defect: str, facts: dict) -> bool:
         return facts["swapped"] if facts["acts"] else facts["foreign"]
     if defect == "echo":
         return not facts["acts"] and facts["words"] > 0 and not facts["fresh"]
-    return True
+    return facts["cut"]
 
 
 def make_up(prompt: str, answer: str, others: list[tuple[str, str]], rng: random.Random) -> list[tuple[str, str, bool]]:
@@ -188,36 +195,69 @@ def make_up(prompt: str, answer: str, others: list[tuple[str, str]], rng: random
     return out
 
 
+def whole_variants(prompt: str, answer: str, other: str, rng: random.Random) -> list[str]:
+    """Answers that are no defect: behind the prompt repeated, and before another text that is cut."""
+    out = [prompt.rstrip("\n") + "\n" + answer]
+    for _ in range(2):
+        piece = other[: rng.randrange(2, max(3, len(other)))].rstrip("\n") + rng.choice(["", "", "", "…", "..."])
+        between = rng.choice(["\n```\nThis function walks over the ", "\n<file_sep>\n", "\n\ndef other_one(value):\n", "\n\n\nclass Other:\n    def run(self):\n", "\n\nif __name__ == '__main__':\n", "\n\n# Example:\n#   the next "])
+        out.append(answer.rstrip() + between + piece)
+    return out
+
+
+def _calibrated(logit: np.ndarray, real: np.ndarray, steps: int = 40) -> tuple[float, float]:
+    """Slope and shift that make the logits of held-out rows the likeliest probabilities of real, by Newton steps."""
+    slope, shift = 1.0, 0.0
+    x = np.stack([np.clip(logit, -30, 30), np.ones(len(logit))])
+    for _ in range(steps):
+        p = _sigmoid(slope * x[0] + shift)
+        g = x @ (p - real) + 1e-2 * np.array([slope - 1, shift])
+        h = (x * np.maximum(p * (1 - p), 1e-6)) @ x.T + 1e-2 * np.eye(2)
+        step = np.clip(np.linalg.solve(h, g), -1, 1)
+        slope, shift = max(0.05, slope - float(step[0])), shift - float(step[1])
+    return slope, shift
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def fit(rows: list[tuple[str, str]], seed: int = 11, steps: int = 160) -> tuple[np.ndarray, np.ndarray, dict[str, tuple[float, float]]]:
-    """Weights (features x defects), thresholds, and held-out precision and recall of each defect, from (prompt, raw output) rows."""
+    """Weights (features x defects), calibration (defects x slope and shift), and held-out precision and recall of each defect, from (prompt, raw output) rows."""
     rng = random.Random(seed)
     vectors: list[np.ndarray] = []
     labels: list[int] = []
+    usual: dict[tuple, int] = {}  # endings of the good ones
 
-    def add(prompt: str, raw: str, full: bool, label: int) -> bool:
+    def add(prompt: str, raw: str, full: bool, label: int, checked: bool = False) -> bool:
         unit, kind, is_open = truncation.ending(raw, prompt)
-        vector, facts = features(prompt, raw, raw, full, unit, kind, is_open)
-        if label < 0 and (not facts["acts"] or facts["swapped"] or is_open):
+        if checked:
+            usual[unit, kind] = usual.get((unit, kind), 0) + 1
+        was_cut = is_open or full or not checked and usual.get((unit, kind), 0) * 200 < len(usual) and bool(raw.strip())
+        vector, facts = features(prompt, raw, raw, full, unit, kind, is_open, was_cut)
+        if checked and (not facts["acts"] or facts["swapped"] or is_open):
             return False
+        if label >= 0 and DEFECTS[label] == "truncated" and unit == "after" or label < 0 and not checked and is_open and unit == "answer":
+            return False  # the place of the cut can't be told
         vectors.append(vector)
         labels.append(label)
         return True
 
-    good = [(p, r) for p, r in rows if r and len(r) > 40 and add(p, r, False, -1)]
+    good = [(p, r) for p, r in rows if r and len(r) > 40 and add(p, r, False, -1, True)]
     by_language: dict[str, list[tuple[str, str]]] = {}
     for p, r in good:
         by_language.setdefault(program_language(p), []).append((p, r))
     for p, r in good:
         mine = program_language(p)
         others = [x for k, v in by_language.items() if k and k != mine and {k, mine} != {"braces", "java"} and {k, mine} != {"braces", "cpp"} for x in v[:20]]
-        for defect, text, full in make_up(p, answer_of(r).rstrip() + "\n", others, rng):
+        answer = answer_of(r).rstrip() + "\n"
+        same = by_language[mine]
+        for text, full in zip(whole_variants(p, answer, answer_of(rng.choice(same)[1]), rng), (False, rng.random() < 0.6, rng.random() < 0.6)):
+            add(p, text, full, -1)
+        for defect, text, full in make_up(p, answer, others, rng):
             add(p, text, full, DEFECTS.index(defect))
     if not vectors:
-        return np.zeros((_DENSE + BUCKETS, len(DEFECTS)), np.float32), np.ones(len(DEFECTS)), {}
+        return np.zeros((_DENSE + BUCKETS, len(DEFECTS)), np.float32), np.tile([1.0, -30.0], (len(DEFECTS), 1)), {}
     x, y = np.stack(vectors), np.array(labels)
     held = np.random.default_rng(seed).random(len(y)) < 1 / 3
     target = (y[:, None] == np.arange(len(DEFECTS))[None, :]).astype(np.float32)
@@ -227,23 +267,24 @@ def fit(rows: list[tuple[str, str]], seed: int = 11, steps: int = 160) -> tuple[
         slope = xt.T @ (_sigmoid(xt @ weights).astype(np.float32) - tt) / len(xt) + 1e-5 * weights
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         weights -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    score = _sigmoid(x[held] @ weights)
-    thresholds, quality = np.full(len(DEFECTS), 0.5), {}
+    logits = x[held] @ weights
+    scale = np.array([_calibrated(logits[:, d].astype(float), target[held][:, d].astype(float)) for d in range(len(DEFECTS))])
+    said, quality = decided(logits, scale)[0], {}
     for d, name in enumerate(DEFECTS):
-        real = target[held][:, d] > 0.5
-        best = (-1.0, 0.5, 0.0, 0.0)
-        for t in np.linspace(0.05, 0.95, 37):
-            said = score[:, d] >= t
-            hit = float((said & real).sum())
-            p, r = hit / max(1.0, float(said.sum())), hit / max(1.0, float(real.sum()))
-            best = max(best, (2 * p * r / max(1e-9, p + r), -abs(t - 0.5), p, r, float(t)), key=lambda b: b[:2]) if best[0] >= 0 else (2 * p * r / max(1e-9, p + r), -abs(t - 0.5), p, r, float(t))
-        thresholds[d] = best[4]
-        quality[name] = (best[2], best[3])
-    return weights, thresholds, quality
+        real, hit = y[held] == d, float(((said == d) & (y[held] == d)).sum())
+        quality[name] = (hit / max(1.0, float((said == d).sum())), hit / max(1.0, float(real.sum())))
+    return weights, scale, quality
+
+
+def decided(logits: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's defect (-1 for none), and the calibrated probabilities of all defects."""
+    chance = _sigmoid(logits * scale[:, 0] + scale[:, 1])
+    best = chance.argmax(axis=1)
+    return np.where(chance.max(axis=1) >= SURE, best, -1), chance
 
 
 def judged(checkpoints: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every output with its defect (null for none) and the scores of all defects.
+    """Every output with its defect (null for none) and the calibrated probabilities of all defects.
 
     checkpoints has what truncation.cut_outputs needs; candidates has line_no and prompt.
     """
@@ -253,21 +294,18 @@ def judged(checkpoints: DataFrame, candidates: DataFrame) -> DataFrame:
     pairs = outputs.join(endings, ["line_no", "tag"]).join(prompts, "line_no", "left")
     some = outputs.where("raw_output is not null").orderBy(F.xxhash64("line_no", "tag"), "line_no", "tag").limit(SAMPLE)
     sample = some.join(prompts, "line_no", "left").select(F.coalesce("prompt", F.lit("")).alias("prompt"), "raw_output", "line_no", "tag").collect()
-    weights, thresholds, _ = fit([(r["prompt"], r["raw_output"]) for r in sorted(sample, key=lambda r: (r["line_no"], r["tag"]))])
-    model = checkpoints.sparkSession.sparkContext.broadcast((weights, thresholds))
+    weights, scale, _ = fit([(r["prompt"], r["raw_output"]) for r in sorted(sample, key=lambda r: (r["line_no"], r["tag"]))])
+    model = checkpoints.sparkSession.sparkContext.broadcast((weights, scale))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, limits = model.value
-        for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
+        w, scale = model.value
+        for batch in slices(batches, "raw_output"):
             columns = (batch.column(c).to_pylist() for c in ("prompt", "raw_output", "clean_output", "full", "unit", "class", "open", "cut"))
-            made = [(features(p or "", raw, clean, full, unit, kind, is_open), unit, was_cut) for p, raw, clean, full, unit, kind, is_open, was_cut in zip(*columns)]
+            made = [features(p or "", raw, clean, full, unit, kind, is_open, was_cut)[0] for p, raw, clean, full, unit, kind, is_open, was_cut in zip(*columns)]
             if not made:
                 continue
-            scores = _sigmoid(np.stack([v for (v, _), _, _ in made]) @ w)
-            defects = []
-            for s, ((_, facts), unit, was_cut) in zip(scores, made):
-                found = [d for i, d in enumerate(DEFECTS) if s[i] >= limits[i] and holds(d, facts) and (d != "truncated" or was_cut and unit == "answer")]
-                defects.append(found[0] if found else None)
+            found, scores = decided(np.stack(made) @ w, scale)
+            defects = [DEFECTS[d] if d >= 0 else None for d in found.tolist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("line_no"), batch.column("tag"), pa.array(defects, pa.string()), *(pa.array(scores[:, i].astype(np.float64)) for i in range(len(DEFECTS)))],
                 ["line_no", "tag", "defect", *(f"{d}_score" for d in DEFECTS)],
