@@ -308,6 +308,25 @@ def test_leaks(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 9), (2, 9), (4, 9)}
 
 
+def test_leaks_with_every_fourth_word_changed_and_short_items(spark, monkeypatch):
+    rng = random.Random(14)
+    items, docs, want = [], [], set()
+    for i in range(30):
+        words = [rng.choice(WORDS) + str(rng.randrange(500)) for _ in range(60)]
+        items.append((i, " ".join(words)))
+        docs.append((i, "before " + " ".join("changed" if k % 4 == 3 else w for k, w in enumerate(words)) + " behind"))
+        docs.append((100 + i, "a part: " + " ".join(words[10:34])))
+        want.add((i, i))
+    items += [(900, "sunlit harbour"), (901, "Vellichor"), (902, "...")]
+    docs += [(700, "at the Sunlit, harbour wall"), (701, "a sunlit wall and harbour"), (702, "vellichor!"), (702, "vellichor!")]
+    want |= {(700, 900), (702, 901)}
+    d, t = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, t).collect()} == want
+    assert {(100 + i, i) for i in range(30)} <= {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, t, leakage.PARTLY).collect()}
+    monkeypatch.setattr(leakage, "BUNDLE", 4000)
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, t).collect()} == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 500), st.floats(0.01, 0.99)), max_size=60))
 def test_flight_keeps_tokens_and_documents(units):
