@@ -7,14 +7,17 @@ Burrows-Wheeler transform in a wavelet matrix over the shard's own vocabulary,
 and every SAMPLE-th suffix position. All phrases of PHRASE words of all items
 are searched backwards, a block of items at a time, and their occurrences are
 located over the sampled positions. Where the phrases of one item stand in one
-document on nearly one diagonal and cover SEEDED of it, item and document are
+document on nearly one diagonal and cover enough of it, item and document are
 aligned there (a word in common +1, a changed, missing or added word -1). The
 best local alignment's score over the item's words is the leak's score; the
 aligned stretches are the removal spans.
 
-A score of 0.5 needs runs of three words and more for over a fifth of the item
-wherever its words are changed, so PHRASE = 3 and SEEDED = 0.2 lose none. An
-item of fewer than PHRASE words has no such phrase; it is searched as the one
+Runs of words in common are parted by an error at least, so those of one or two
+words bring a score of a third of the words they take up. With c words in g runs
+of PHRASE = 3 and more, an item of n words scores c - g + 1 + (n - c) / 3 at the
+most, and no more than its words that the stretch has at all. Only stretches that
+could reach the score asked for by both bounds are aligned, so none is lost; below
+a score of 0.5, c must be SEEDED of n too. An item of fewer than PHRASE words has no such phrase; it is searched as the one
 phrase it is and leaks where all its words stand in a row, with score 1.
 
 Items are a stated query set; what is sent to the tasks at a time is bounded
@@ -229,17 +232,20 @@ def _seeds(index: FMIndex, items: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _windows(owner: np.ndarray, place: np.ndarray, spot: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
+def _windows(owner: np.ndarray, place: np.ndarray, spot: np.ndarray, doc: np.ndarray, sizes: np.ndarray, score: float) -> list[tuple[int, int, int]]:
     """(item, document, diagonal) of the stretches whose seeds cover enough of the item."""
     order = np.lexsort((spot - place, owner, doc))
     owner, place, spot, doc = owner[order], place[order], spot[order], doc[order]
     pair = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])])) if len(owner) else np.zeros(0, np.int64)
     stops = np.append(pair[1:], len(owner))
-    enough = (stops - pair) * PHRASE >= SEEDED * sizes[owner[pair]]
+    size_of = sizes[owner[pair]]
+    short = np.where(size_of < PHRASE, 0.0, np.maximum((score - 1 / 3) * 1.5, 0.0 if score >= LEAKED else SEEDED) * size_of)  # least words in runs
+    enough = (stops - pair) * PHRASE >= short
     out = []
     for b, e in zip(pair[enough].tolist(), stops[enough].tolist()):
         size = int(sizes[owner[b]])
-        phrase, least = min(PHRASE, size), SEEDED * size
+        phrase = min(PHRASE, size)
+        least = 0.0 if size < PHRASE else max((score - 1 / 3) * 1.5, 0.0 if score >= LEAKED else SEEDED) * size
         slant, offset = (spot[b:e] - place[b:e]), place[b:e]
         tails = np.searchsorted(slant, slant - SLACK, side="left")
         last = np.append(tails[1:] != tails[:-1], True)  # the longest group with each beginning
@@ -249,7 +255,11 @@ def _windows(owner: np.ndarray, place: np.ndarray, spot: np.ndarray, doc: np.nda
             if (head + 1 - tail) * phrase < least:
                 continue
             offsets = np.unique(offset[tail : head + 1])
-            covered = len(offsets) + int(np.minimum(np.diff(np.append(offsets, offsets[-1] + phrase)) - 1, phrase - 1).sum())
+            gaps = np.diff(offsets)
+            covered = len(offsets) + int(np.minimum(gaps - 1, phrase - 1).sum()) + phrase - 1
+            runs = 1 + int((gaps > phrase).sum())
+            if size >= PHRASE and covered - runs + 1 + (size - covered) / 3 < score * size - 1e-9:
+                continue
             diagonal = int(slant[(tail + head) // 2])
             if covered >= least and (tried is None or abs(diagonal - tried) > SLACK // 2):
                 tried = diagonal
@@ -257,9 +267,17 @@ def _windows(owner: np.ndarray, place: np.ndarray, spot: np.ndarray, doc: np.nda
     return out
 
 
+class _Symbols(dict):
+    """The shard's symbols by word; a word that is new gets the next."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = len(self) + _BREAK + 1
+        return value
+
+
 def _shard(items: _Items, docs: list[tuple[int, str]], least: float) -> Iterator[tuple[int, int, int, int, float]]:
     """(doc_id, item_id, begin, end, score) of the leaks in a shard; begin and end are places in the text."""
-    vocabulary: dict[str, int] = {}
+    vocabulary = _Symbols()
     known = items.vocabulary
     words: list[int] = []
     begins = []
@@ -274,7 +292,7 @@ def _shard(items: _Items, docs: list[tuple[int, str]], least: float) -> Iterator
         texts.append(text)
         holders.append([d])
         begins.append(len(words))
-        words += [vocabulary.setdefault(w, len(vocabulary) + _BREAK + 1) for w in _WORD.findall(text.lower())]
+        words += map(vocabulary.__getitem__, _WORD.findall(text.lower()))
         words.append(_BREAK)
     symbols = np.array([vocabulary.get(w, 0) for w in known], np.int64)
     if not symbols.any():
@@ -285,14 +303,18 @@ def _shard(items: _Items, docs: list[tuple[int, str]], least: float) -> Iterator
         owner, place, spot = _seeds(index, mine)
         doc = np.searchsorted(starts, spot, side="right") - 1
         sizes = np.array([len(w) for w in mine])
+        lists = [w.tolist() for w in mine]
         tasks = []
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for i, d, diagonal in _windows(owner, place, spot, doc, sizes):
+        for i, d, diagonal in _windows(owner, place, spot, doc, sizes, least):
             stop = int(starts[d + 1]) - 1 if d + 1 < len(starts) else len(text) - 1
             if sizes[i] < PHRASE:
                 best.setdefault((i, d), (1.0, diagonal, diagonal + int(sizes[i])))
                 continue
-            tasks.append((i, d, max(int(starts[d]), diagonal - 2 * SLACK), min(stop, diagonal + int(sizes[i]) + 2 * SLACK)))
+            b, e = max(int(starts[d]), diagonal - 2 * SLACK), min(stop, diagonal + int(sizes[i]) + 2 * SLACK)
+            there = set(text[b:e].tolist())
+            if sum(w in there for w in lists[i]) >= least * sizes[i]:
+                tasks.append((i, d, b, e))
         tasks.sort(key=lambda x: (sizes[x[0]], x[3] - x[2]))
         for k in range(0, len(tasks), 64):  # of nearly one size
             part = tasks[k : k + 64]
