@@ -13,6 +13,7 @@ delivered twice count once.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from provenir.llm import _boosting, _pii_samples
 from provenir.llm._phrases import FUNCTION_WORDS
+from provenir.llm._text import slices
 from provenir.runtime import cut, spread, table
 
 TYPES = ("email", "phone", "id_number", "address", "name")
@@ -70,12 +72,17 @@ GENERATORS = {
         re.compile(rf"\d{{1,4}}(?: ?(?:bis|ter))?,? {_FR_KIND} {_ANY}(?:[ ]{_ANY}){{0,5}},\s{{1,2}}\d{{4,5}} {_TOWN}", re.UNICODE),
         re.compile(rf"{_ES_KIND} {_ANY}(?: {_ANY}){{0,5}},? \d{{1,4}}\w?,\s{{1,2}}\d{{4,5}} {_TOWN}"),
     ],
+    # tried at every capital that no other sign forbids (STARTS), so names may overlap
     "name": [
-        re.compile(rf"(?=(?<![\w@.\-/`'’])((?:{_T})(?: [{_UPPER}]\.)*(?: (?:van|von|de|da|del|di|la|le|der|den|dos|al|bin|ter))* (?:{_T}))(?![\w@`(/]))"),
-        re.compile(rf"(?=(?<![\w@.\-/`'’])((?:[{_UPPER}]\. ?)+(?:{_T}))(?![\w@`(/]))"),
-        re.compile(rf"(?=(?<![\w@.\-/`'’])((?:{_T}), (?:{_T}|[{_UPPER}]\.))(?![\w@`(/]))"),
+        re.compile(rf"(?:{_T})(?: [{_UPPER}]\.)*(?: (?:van|von|de|da|del|di|la|le|der|den|dos|al|bin|ter))* (?:{_T})(?![\w@`(/])"),
+        re.compile(rf"(?:[{_UPPER}]\. ?)+(?:{_T})(?![\w@`(/])"),
+        re.compile(rf"(?:{_T}), (?:{_T}|[{_UPPER}]\.)(?![\w@`(/])"),
     ],
 }
+#: Places where the generators of a type are tried, by a sign the engine can seek; other generators look for themselves.
+STARTS = {"name": re.compile(rf"[{_UPPER}](?<![\w@.\-/`'’].)"), "id_number": re.compile(r"\d(?<![\w\-].)(?=\d)|[A-Z](?<![\w\-].)(?=[A-Z]{0,2} ?[\d-])")}
+#: What a text must hold for the first generator of addresses to match.
+_HOUSE = re.compile(rf"\d[a-zA-Z]? [{_UPPER}]")
 
 # Words that go before personal information, and words that go before what only looks like it.
 _TRIGGERS = {
@@ -106,11 +113,19 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     low = text.lower()
     spelled = "dot" in low and any(s in low for s in _SPELLED)
     for t, kind in enumerate(TYPES):
+        if kind in STARTS:
+            for at in STARTS[kind].finditer(text):
+                for g in GENERATORS[kind]:
+                    if m := g.match(text, at.start()):
+                        found.add((*m.span(), t))
+            continue
         for g in GENERATORS[kind]:
+            if g is GENERATORS["address"][0] and not _HOUSE.search(text):
+                continue
             if kind == "email" and not ("@" in text if g in _WITH_SIGN else spelled):
                 continue  # the generator can't match
             for m in g.finditer(text):
-                b, e = m.span(1) if kind == "name" else m.span()
+                b, e = m.span()
                 while kind == "email" and e > b and text[e - 1] in ".-'_":
                     e -= 1
                 while kind == "email" and b < e and text[b] in ".-'%+":
@@ -172,8 +187,9 @@ def features(text: str, b: int, e: int, t: int) -> list[float]:
     return shared
 
 
+@functools.lru_cache(maxsize=2)
 def fit(seed: int = 5) -> dict[str, tuple[_boosting.Trees, float, float, float]]:
-    """Trees, threshold, and held-out precision and recall of each type."""
+    """Trees, threshold, and held-out precision and recall of each type; fitted once in a process and kept."""
     rows: dict[int, list] = {t: [] for t in range(len(TYPES))}
     for number, (text, marks) in enumerate(_pii_samples.documents(TRAINING, seed)):
         real = {(b, e, k) for b, e, k in marks}
@@ -227,8 +243,8 @@ def detected(documents: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("pii_type", pa.string()), ("pii_text", pa.string())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+        for part in slices(batches, "text"):
+            if part.num_rows:
                 texts = part.column("text").to_pylist()
                 redacted, found = [], []
                 for text, marks in zip(texts, spans(texts, model.value)):
@@ -240,7 +256,7 @@ def detected(documents: DataFrame) -> DataFrame:
                     found.append([{"begin": b, "end": e, "pii_type": k, "pii_text": text[b:e]} for b, e, k in marks])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(redacted, pa.string()), pa.array(found, kind)], ["doc_id", "redacted", "found"])
 
-    return spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text")).mapInArrow(work, shape)
+    return spread(documents.select("doc_id", "text")).where("doc_id is not null and text is not null").mapInArrow(work, shape)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
