@@ -115,9 +115,12 @@ JAVA = r"""
 %left '++' '--'
 %nonassoc 'then'
 %nonassoc 'else'
-unit: package? import* type*
+unit: package? import* type* | import* module
 package: 'package' qname ';'
 import: 'import' qname ';' | 'import' qname '.' '*' ';' | 'import' 'static' qname ';' | 'import' 'static' qname '.' '*' ';'
+module: MODULE qname '{' directive* '}' | annotation module
+directive: ditem+ ';'
+ditem: NAME | 'static' | '.' | ','
 type: mod* class | ';'
 mod: 'public' | 'private' | 'protected' | 'static' | 'final' | 'abstract' | 'native' | 'synchronized' | 'transient' | 'volatile' | 'strictfp' | 'default' | SEALED | annotation
 annotation: '@' qname | '@' qname '(' ')' | '@' qname '(' annovalues ')'

@@ -138,7 +138,7 @@ JAVA_WORDS = frozenset(
 _CPP = re.compile(
     r"""
     (?P<raw>(?:u8|[uUL])?R"(?P<mark>[^()\\\s]{0,16})\((?:.|\n)*?\)(?P=mark)")
-  | (?P<literal>(?:u8|[uUL])?(?:"(?:[^"\\\r\n]|\\.)*+"|'(?:[^'\\\r\n]|\\(?:[0-7]{1,3}|x[0-9a-fA-F]+|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|.))+'))
+  | (?P<literal>(?:u8|[uUL])?(?:"(?:[^"\\\r\n]|\\.)*+"(?:[A-Za-z_]\w*)?|'(?:[^'\\\r\n]|\\(?:[0-7]{1,3}|x[0-9a-fA-F]+|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|.))+'))
   | (?P<line>^[ \t]*\#(?:[^\r\n\\]|\\(?:\r\n|.))*)
 """
     + "  |"
@@ -225,7 +225,11 @@ def java_tokens(text: str) -> tuple[list[str], list[int]]:
         elif s == "NAME":
             following, word = out[i + 1] if i + 1 < len(out) else "", text[at[i] : at[i] + 10]
             before = made[-1] if made else ";"
-            if word.startswith("record ") and following == "NAME":
+            if re.match(r"module\s", text[at[i] : at[i] + 7]) and following == "NAME" and not any(x in ("class", "interface", "enum") for x in made) and (before in (";", "]", ")", "NAME") or not made):
+                if before == "NAME" and text.startswith("open", spots[-1]):
+                    made.pop(), spots.pop()
+                s = "MODULE"
+            elif word.startswith("record ") and following == "NAME":
                 s = "RECORD"
             elif re.match(r"(?:non-)?sealed\s", word) and following in ("class", "interface", "abstract", "public", "static"):
                 s = "SEALED"
@@ -238,6 +242,117 @@ def java_tokens(text: str) -> tuple[list[str], list[int]]:
     return made, spots
 
 
+# The standard library's suffixes of numbers.
+_SUFFIXES = frozenset("h min s ms us ns d y i il if".split())
+_MACRO = re.compile(r"[A-Z][A-Z0-9_]{2,}\b")
+_DECLARES = frozenset("auto bool char char8_t char16_t char32_t class const constexpr consteval constinit double enum explicit extern float friend inline int long public private protected short signed static struct template typedef typename union unsigned using virtual void volatile wchar_t".split())
+
+
+def _without_macros(out: list[str], at: list[int], text: str) -> tuple[list[str], list[int]]:
+    """The tokens without macros that stand before a declaration: a name in capitals, or such a call, that nothing else can explain."""
+    if not _MACRO.search(text):
+        return out, at
+    made: list[str] = []
+    spots: list[int] = []
+    i = 0
+    while i < len(out):
+        if out[i] == "NAME" and (not made or made[-1] in (";", "}", "{", ":", ">")) and (m := _MACRO.match(text, at[i])) and i + 1 < len(out):
+            after, call = i + 1, False
+            if out[after] == "(":
+                depth, call = 0, True
+                while after < len(out):
+                    depth += (out[after] == "(") - (out[after] == ")")
+                    after += 1
+                    if not depth:
+                        break
+            following = out[after] if after < len(out) else ""
+            next_one = out[after + 1] if after + 1 < len(out) else ""
+            if following in _DECLARES or following == "NAME" and (call or next_one in ("NAME", "::")):
+                i = after
+                continue
+        made.append(out[i])
+        spots.append(at[i])
+        i += 1
+    return made, spots
+
+
+def _matching(out: list[str], at: int) -> int:
+    """The place behind the bracket that closes the one at this place."""
+    depth = 0
+    for k in range(at, len(out)):
+        depth += (out[k] in "([{") - (out[k] in ")]}")
+        if not depth:
+            return k + 1
+    return len(out)
+
+
+def _constraint_end(out: list[str], i: int, text: str, at: list[int]) -> int:
+    """The place behind a constraint: names with arguments, groups and requirements, joined by && and ||."""
+    while i < len(out):
+        if out[i] == "(":
+            i = _matching(out, i)
+        elif out[i] == "NAME" and text.startswith("requires", at[i]):
+            i += 1
+            if i < len(out) and out[i] == "(":
+                i = _matching(out, i)
+            i = _matching(out, i) if i < len(out) and out[i] == "{" else i
+        else:
+            while i < len(out) and out[i] in ("NAME", "::"):
+                i += 1
+                if i < len(out) and out[i] == "<":
+                    depth = 0
+                    while i < len(out):
+                        depth += (out[i] == "<") - (out[i] == ">")
+                        i += 1
+                        if not depth:
+                            break
+                    if i < len(out) and out[i] != "::":
+                        break
+                elif i < len(out) and out[i] == "NAME":
+                    break
+        if i < len(out) and out[i] in ("&&", "||"):
+            i += 1
+        else:
+            return i
+    return i
+
+
+def _later_forms(out: list[str], at: list[int], text: str) -> tuple[list[str], list[int]]:
+    """The tokens with concepts as aliases, and without constraints and assembly, whose inside the grammar doesn't know; operators of literals get a plain sign."""
+    if not re.search(r"\b(?:concept|requires|asm|operator\s*\"\")", text):
+        return out, at
+    made: list[str] = []
+    spots: list[int] = []
+    i = 0
+    while i < len(out):
+        s, word = out[i], text[at[i] : at[i] + 9]
+        if s == "NAME" and re.match(r"concept\b", word) and made[-1:] == [">"] and out[i + 1 : i + 3] == ["NAME", "="]:
+            end = i + 3
+            while end < len(out) and out[end] != ";":
+                end = _matching(out, end) if out[end] in "([{" else end + 1
+            made += ["using", "NAME", "=", "int"]
+            spots += [at[i], at[i + 1], at[i + 2], at[min(i + 3, len(at) - 1)]]
+            i = end
+        elif s == "NAME" and re.match(r"requires\b", word) and made[-1:] == [">"]:
+            i = _constraint_end(out, i + 1, text, at)
+        elif s == "asm":
+            k = i + 1
+            while k < len(out) and out[k] in ("volatile", "inline", "goto"):
+                k += 1
+            if k < len(out) and out[k] == "(":
+                i = _matching(out, k)
+            else:
+                made.append(s), spots.append(at[i])
+                i += 1
+        elif s == "STRING" and made[-1:] == ["operator"]:
+            made.append("+"), spots.append(at[i])
+            i += 2 if out[i + 1 : i + 2] == ["NAME"] else 1
+        else:
+            made.append(s), spots.append(at[i])
+            i += 1
+    return made, spots
+
+
 def cpp_tokens(text: str) -> tuple[list[str], list[int]]:
     """C++ tokens without preprocessor lines and attributes; LT and GT enclose template arguments."""
     out: list[str] = []
@@ -269,11 +384,12 @@ def cpp_tokens(text: str) -> tuple[list[str], list[int]]:
             out.append("STRING")
         elif kind == "literal":
             out.append("LITERAL" if value[-1] == "'" else "STRING")
-        elif (kind == "number" or kind == "tail") and (not m.group("tail") or m.group("tail")[0] == "_"):
+        elif (kind == "number" or kind == "tail") and (not m.group("tail") or "_" in value or m.group("tail") in _SUFFIXES):
             out.append("LITERAL")
         else:
             return [*out, BAD], [*at, start]
         at.append(start)
+    out, at = _without_macros(*_later_forms(out, at, text), text)
     _type_arguments(out, frozenset(("NAME", "template", "]")))
     return _double_close(out, at)
 

@@ -3,9 +3,10 @@
 LALR(1) tables are built from the bundled grammars on the driver, in well
 under a second, and broadcast (about 0.4 MB whatever the data). Each source
 is cut into tokens and run through its language's table to the end; the first
-token that no valid file can have there is the file's error. What the Python
-table rejects is put to Python's own parser, which has the last word, so a
-rule missing in the grammar can't flag a valid file.
+token that no valid file can have there is the file's error. Every Python file
+is put to Python's own parser besides, which has the last word both ways, so
+neither a rule missing in the grammar nor one too wide counts; where that parser
+gives up (a file nested too deep for it) the table's verdict stands.
 
 The language follows from the path's ending; sources with another ending or a
 null path are not judged. Null and blank generated code is no source; a human
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenir.llm import _grammars, _lexers, _lr
-from provenir.llm._text import has_token
+from provenir.llm._text import has_token, slices
 from provenir.runtime import cut, spread, table
 
 #: Language by the ending of a path.
@@ -46,18 +47,22 @@ def syntax_error(text: str, kind: str, table: _lr.Tables) -> tuple[int, str] | N
     symbols, offsets = _lexers.LEXERS[kind](text)
     numbers = table.terminals
     found = _lr.first_error(table, [*(numbers.get(s, -1) for s in symbols), numbers[_lr.END]])
-    if found < 0:
-        return None
     if kind == "python":
         try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 ast.parse(text)
             return None
-        except (SyntaxError, ValueError):
-            pass
+        except SyntaxError as error:
+            if found < 0:
+                return max(1, error.lineno or 1), "ast"
+        except ValueError:
+            if found < 0:
+                return 1, "ast"
         except (RecursionError, MemoryError):
             pass
+    if found < 0:
+        return None
     at = offsets[found] if found < len(offsets) else len(text)
     return text.count("\n", 0, at) + 1, (symbols[found] if found < len(symbols) else _lr.END)
 
@@ -72,7 +77,7 @@ def parsed(sources: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = bundle.value
-        for batch in batches:
+        for batch in slices(batches, "text"):
             found = [syntax_error(t, k, grammar[k]) for t, k in zip(batch.column("text").to_pylist(), batch.column("language").to_pylist())]
             made = [pa.array([x is None for x in found]), pa.array([x and x[0] for x in found], pa.int32()), pa.array([x and x[1] for x in found], pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *made], [*(f.name for f in keep), "valid", "error_line", "error_token"])

@@ -197,6 +197,15 @@ def test_java_and_cpp_errors():
         assert syntax.syntax_error(good + "/* open", kind, t) is not None and syntax.syntax_error(good.replace(";", "", 1), kind, t) is not None
 
 
+def test_later_forms_of_java_and_cpp_are_valid():
+    tables = syntax.tables()
+    cpp = ["template <typename T>\nconcept Small = sizeof(T) < 8 && requires(T t) { t.size(); { t.begin() } -> Same; typename T::value; };\nint f() { return 1; }\n", "template <typename T> requires Small<T> && (sizeof(T) > 1)\nT g(T x) { return x; }\n",
+           "#include <a>\nEXPORT_API int f(int a) { return a; }\nMY_MACRO(3, x) void g();\nLIB_API std::string h(int b) { return {}; }\n", 'long double operator"" _km(long double x) { return x; }\nauto d = 10_km + 5ms + "a"s.size();\n', 'void f() { asm volatile("nop" : "=r"(x) : "r"(y) : "memory"); asm("hlt"); }\n', "HANDLE h = open_it();\nHANDLE g(int b) { return h; }\n"]
+    java = ["import java.util.List;\n@Deprecated\nopen module a.b.c {\n  requires transitive java.sql;\n exports a.b to c.d, e;\n provides x.Y with z.W;\n}\n", "module m { requires java.base; }", "class A { int module = 3; void f() { module x = null; } }"]
+    assert not [t for t in cpp if syntax.syntax_error(t, "cpp", tables["cpp"])] and not [t for t in java if syntax.syntax_error(t, "java", tables["java"])]
+    assert syntax.syntax_error("EXPORT_API int f(int a) { return a; \n", "cpp", tables["cpp"]) and syntax.syntax_error("module m { requires java.base; ", "java", tables["java"])
+
+
 def test_endings():
     whole = ["    return a\n", "    return a", "    for x in y:\n        z(x)\n    return z\n", "Sorry, I can't do that.", "", None, "        return a;\n    }\n}\n", "<|endoftext|>", "    ...\n"]
     cut = ["    return f(a, ", "    x = 'abc", "    for x in y:", "    return a.", "    if (a.b < c", "        int x = f(a", "    value = othe…", "    # note\n    x = [1,\n", '    """Doc that', "    return number + "]
