@@ -14,7 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Assert, ast.With, ast.AsyncWith, ast.comprehension)
+# What counts as a decision; an elif belongs to its if, and each and/or to its two operands.
+_DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Match, ast.match_case)
 SCHEMA = "ok boolean, error string, blocks array<string>, functions array<string>, classes int, has_body boolean, docstring_only boolean, returns boolean, complexity int, nodes int, tokens int, calls array<string>, keywords array<string>, operators array<string>, names_in_conditions array<string>"
 
 
@@ -41,7 +42,9 @@ def analyse(code: str | None) -> dict:
     blocks = [n for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
     functions = [n for n in nodes if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
     bodies = [[s for s in f.body if not _is_doc(s) and not isinstance(s, ast.Pass)] for f in functions]
-    decisions = sum(isinstance(n, _DECISIONS) for n in nodes) + sum(len(n.values) - 1 for n in nodes if isinstance(n, ast.BoolOp))
+    lines = code.splitlines()
+    elifs = sum(isinstance(n, ast.If) and len(n.orelse) == 1 and isinstance(n.orelse[0], ast.If) and lines[n.orelse[0].lineno - 1].encode()[n.orelse[0].col_offset :].startswith(b"elif") for n in nodes)
+    decisions = sum(isinstance(n, _DECISIONS) for n in nodes) - elifs + sum(len(n.values) - 1 for n in nodes if isinstance(n, ast.BoolOp))
     try:
         words = [t.string for t in tokenize.generate_tokens(io.StringIO(code).readline) if t.type not in (tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.COMMENT, tokenize.ENDMARKER)]
     except (tokenize.TokenError, SyntaxError, IndentationError):
@@ -263,3 +266,22 @@ def with_digest(df: DataFrame, columns: list[str], out: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, out])
 
     return df.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{out} string"]))
+
+
+def node_taxonomy() -> list[tuple[str, str]]:
+    """(node type, family) of all node types of the language's own tree, by what they derive from."""
+    families = {ast.stmt: "statement", ast.expr: "expression", ast.boolop: "operator", ast.operator: "operator", ast.unaryop: "operator", ast.cmpop: "operator", ast.pattern: "pattern", ast.mod: "module", ast.excepthandler: "clause", ast.expr_context: "context"}
+    kinds = [v for v in vars(ast).values() if isinstance(v, type) and issubclass(v, ast.AST) and v.__module__ == "ast" and v not in families and v is not ast.AST]
+    return sorted({(k.__name__, next((name for base, name in families.items() if issubclass(k, base)), "part")) for k in kinds})
+
+
+def node_counts(code: str | None) -> dict[str, int]:
+    """How often each node type stands in a source; empty where it doesn't parse."""
+    try:
+        tree = _parse(code or "")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return {}
+    out: dict[str, int] = {}
+    for n in ast.walk(tree):
+        out[type(n).__name__] = out.get(type(n).__name__, 0) + 1
+    return out

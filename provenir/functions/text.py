@@ -165,3 +165,34 @@ def few_shot_prompt(head: str, examples: Column | str, question: Column | str) -
     """A prompt from a head, an array of (input, output) examples and a question."""
     shots = F.transform(_c(examples), lambda e: F.concat(F.lit("Input:\n"), e["input"], F.lit("\nOutput: "), e["output"].cast("string")))
     return F.concat_ws("\n\n", F.lit(head), shots, F.concat(F.lit("Input:\n"), _c(question), F.lit("\nOutput:")))
+
+
+# Fixed value: the head of the question whether a text was generated.
+LABEL_HEAD = (
+    "You will be provided with a {lang} source code. Please determine if the code snippet is generated by Artificial intelligence (AI) models (i.e. language models) or human. If the code is generated by human, output 1. "
+    "If the code is generated by AI, output 0. A few example source code along with their corresponding labels are also provided. Return only the label in the output."
+)
+
+
+def label_prompt(lang: str, examples: Column | str, question: Column | str) -> Column:
+    """The question for a label: head, an array of (input, output) examples and the text with its braces escaped, parted by blank lines."""
+    shots = F.transform(_c(examples), lambda e: F.concat(F.lit("Input: "), e["input"], F.lit(" -> Output: "), e["output"].cast("string")))
+    return F.concat_ws("\n\n", F.lit(LABEL_HEAD.format(lang=lang)), shots, F.concat(F.lit("Input: "), escape_braces(question), F.lit(" -> Output:")))
+
+
+def block_text(value: Column | str) -> Column:
+    """A block without blanks at its end and with one line end; a blank one is an empty function."""
+    v = F.regexp_replace(F.coalesce(_c(value), F.lit("")), r"(?U)\s+$", "")
+    return F.when(v == "", "def _empty_block(): pass\n").otherwise(F.concat(v, F.lit("\n")))
+
+
+def agc_score(human: Column | str, mode: Column | str) -> Column:
+    """The machine's score from the human one: its negative for decisions, 1 less it for probabilities; another mode is an error."""
+    h, m = _c(human), _c(mode)
+    return F.when(m == "decision", -h).when(m == "proba", 1 - h).when(m.isNotNull() & h.isNotNull(), F.raise_error(F.concat(F.lit("unsupported score mode: "), m)).cast("double"))
+
+
+def mode_threshold(mode: Column | str, given: Column | None = None) -> Column:
+    """The threshold given, else the mode's own: 0 for decisions, 0.5 for probabilities."""
+    own = F.when(_c(mode) == "decision", 0.0).when(_c(mode) == "proba", 0.5)
+    return F.coalesce(given, own) if given is not None else own
