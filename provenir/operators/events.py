@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from provenir.functions.hashing import seeded
 from provenir.sources.readers import resolve_aliases
 
-#: Canonical names and the headers accepted for them, the first present winning; a trailing ? marks those that may be missing.
+# Canonical names and the headers accepted for them, the first present winning; a trailing ? marks those that may be missing.
 ALIASES = {
     "manifest_row_number?": ["manifest_row_number", "row_number"], "function_event_id?": ["function_event_id", "event_id"], "dataset_source": ["dataset_source", "source"], "repo_name": ["repo_name", "repository"],
     "time": ["time", "month", "year_month"], "commit": ["commit", "scan_current_commit", "current_commit", "commit_sha"], "parent_commit?": ["parent_commit", "scan_parent_commit"], "commit_order?": ["commit_order"], "relative_path": ["relative_path", "path", "file_path"],
@@ -22,12 +22,15 @@ CHANGES = {"a": "added", "add": "added", "added": "added", "new": "added", "crea
 LAST = 1_000_000_000_000
 
 
-def canonical(manifest: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Manifest rows under canonical names, trimmed, changes in one spelling, numbers as numbers; unreadable values become null."""
+def canonical(manifest: DataFrame, extra: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
+    """Manifest rows under canonical names, trimmed, changes in one spelling, numbers as numbers; unreadable values become null, or with strict an unknown change an error."""
     m = resolve_aliases(manifest, ALIASES, extra)
     clean = {c: F.nullif(F.trim(c), F.lit("")) for c, t in m.dtypes if t == "string"}
     m = m.withColumns(clean)
-    change = F.element_at(F.create_map(*[F.lit(x) for kv in CHANGES.items() for x in kv]), F.when(F.lower("change_type").isin(*CHANGES), F.lower("change_type")))
+    said = F.translate(F.lower("change_type"), "- ", "__")
+    change = F.element_at(F.create_map(*[F.lit(x) for kv in CHANGES.items() for x in kv]), F.when(said.isin(*CHANGES), said))
+    if strict:
+        change = F.when(change.isNull() & F.col("change_type").isNotNull(), F.raise_error(F.concat(F.lit("unsupported change_type: "), F.col("change_type"))).cast("string")).otherwise(change)
     number = {c: F.expr(f"try_cast(`{c}` as bigint)") for c in ("commit_order", "occurrence_index", "start_line", "end_line", "manifest_row_number") if c in m.columns}
     return m.withColumns({"change_type": change, "content_sha256": F.lower("content_sha256"), "commit": F.lower("commit"), **number})
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provenir.operators.quantiles import exact_quantiles
+
+
 
 def _ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -108,7 +111,7 @@ def proba_grid() -> list[float]:
 
 def decision_grid(rows: DataFrame, points: int = 41, reach: float = 1.5) -> list[float]:
     """Evenly from reach population deviations below the median score to as many above."""
-    m, s = rows.agg(F.percentile("score", F.lit(0.5)), F.stddev_pop("score")).first()
+    (m,), s = exact_quantiles(rows, "score", [0.5]), rows.agg(F.stddev_pop("score")).first()[0]
     return [] if m is None else [m - reach * s + 2 * reach * s * i / (points - 1) for i in range(points)]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provenir.functions.text import line_count, normal_label, pair_id, pair_label, space_weight
+from provenir.operators.quantiles import exact_quantiles, running_totals
 
 
 def halves(code_pairs: DataFrame) -> DataFrame:
@@ -16,6 +17,18 @@ def halves(code_pairs: DataFrame) -> DataFrame:
     return rows.groupBy("idx").agg(F.max_by(F.struct("side", "code", "split", "model"), last).alias("r")).select("idx", pair_id("idx").alias("pair_id"), F.col("r.side").alias("side"), F.col("r.code").alias("code"), F.col("r.split").alias("split"), F.col("r.model").alias("model"))
 
 
+def resolved_labels(rows: DataFrame, idx: str = "idx") -> DataFrame:
+    """rows with side: from the column label where there is one, else from idx where every suffix tells, else from the column actual_label as 1 or 0, else an error."""
+    if "label" in rows.columns:
+        return rows.withColumn("side", normal_label("label"))
+    if rows.where(pair_label(idx).isNull()).limit(1).count() == 0:
+        return rows.withColumn("side", pair_label(idx))
+    if "actual_label" in rows.columns:
+        known = F.expr("try_cast(actual_label as int)")
+        return rows.withColumn("side", F.when(known == 1, "human").when(known == 0, "lm").otherwise(F.raise_error(F.concat(F.lit("label: "), F.col("actual_label").cast("string"))).cast("string")))
+    raise ValueError("neither a label, nor a suffix in every idx, nor actual_label")
+
+
 def pair_faults(rows: DataFrame) -> DataFrame:
     """Pairs that are not exactly one human and one lm half, with what is wrong."""
     g = rows.groupBy("pair_id").agg(F.count("*").alias("halves"), F.count_if(F.col("side") == "human").alias("humans"), F.count_if(F.col("side") == "lm").alias("machines"), F.count_distinct("split").alias("splits"))
@@ -51,8 +64,8 @@ def average_percent_rank(value: str, by: list[str] | None = None) -> Column:
 def percent_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
     """average_percent_rank over all rows without a global sort of rows: ranks come from the counts of distinct values."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    order = Window.orderBy(value)
-    ranked = counts.select(F.col(value).alias("_v"), ((F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("_n") + 1) / 2.0) / F.sum("_n").over(Window.partitionBy())).alias(out))
+    total = rows.where(F.col(value).isNotNull()).count()
+    ranked = running_totals(counts, [value], "_n", "_below").select(F.col(value).alias("_v"), ((F.col("_below") + (F.col("_n") + 1) / 2.0) / F.lit(total)).alias(out))
     return rows.join(ranked, rows[value] == ranked["_v"], "left").drop("_v")
 
 
@@ -80,8 +93,8 @@ def with_positions(rows: DataFrame, order: list[str], out: str, desc: bool = Fal
 
 def quantile_bins(rows: DataFrame, value: str, bins: int, out: str) -> DataFrame:
     """Bins between the distinct linear quantiles, closed on the right, the least value in bin 0."""
-    edges = rows.agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()[0] or []
-    inner = sorted(set(edges))[1:-1]
+    edges = exact_quantiles(rows, value, [i / bins for i in range(bins + 1)])
+    inner = sorted(set(edges) - {None})[1:-1]
     above = sum((F.when(F.col(value) > e, 1).otherwise(0) for e in inner), F.lit(0))
     return rows.withColumn(out, F.when(F.col(value).isNotNull(), above))
 

@@ -57,11 +57,13 @@ def by_pair(pairs: DataFrame, key: str, seed: str, shares: dict[str, float]) ->
     return pairs.withColumn("split", out.otherwise(list(shares)[-1]))
 
 
-def by_complexity(ranked: DataFrame, rank: str, key: str, seed: str, block: int = 10, dev: int = 1, test: int = 1) -> DataFrame:
+def by_complexity(ranked: DataFrame, rank: str, key: str, seed: str, block: int = 10, dev: int = 1, test: int = 1, strict: bool = False) -> DataFrame:
     """Blocks of neighbours in rank; in each whole block the seeded order gives dev and test their rows, train the rest.
 
-    Rows of a last block that isn't whole are left out.
+    Rows of a last block that isn't whole are left out, or with strict are an error.
     """
+    if strict and (rest := ranked.count() % block):
+        raise ValueError(f"{rest} rows beyond whole blocks of {block}")
     blocked = ranked.withColumn("block", F.floor((F.col(rank) - 1) / block).cast("int"))
     w = Window.partitionBy("block")
     placed = blocked.withColumn("_p", F.row_number().over(w.orderBy(seeded(seed, key), key))).withColumn("_n", F.count("*").over(w)).where(F.col("_n") == block)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provenir.functions import code, hashing, text
-from provenir.operators import checks, matching, metrics, pairs, rollup, selection, splits
+from provenir.operators import checks, matching, metrics, pairs, quantiles, rollup, selection, splits
 from provenir.plans.registry import DRAWS, EVENTS, HALVES, LATEST, OCC, RANKED, SCORED, _events, _halves, _latest, _ranked, _scored, query, rounded
 from provenir.runtime import cut, table
 from provenir.sources import readers
@@ -65,7 +65,7 @@ cnt AS (SELECT subset, score, count(*) FILTER (truth = 1) AS p, count(*) FILTER
 SELECT subset, round(sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0), 9) AS auroc FROM run GROUP BY 1""")
 def subset_auroc(spark: SparkSession, d: str) -> DataFrame:
     rows = _scored(spark, d)
-    middle = rows.agg(F.percentile("score", F.lit(0.5))).first()[0]
+    middle = quantiles.exact_quantiles(rows, "score", [0.5])[0]
     sets = F.array_compact(F.array(F.lit("all"), F.when(F.col("score") < F.lit(middle), "large"), F.when(F.col("score") >= F.lit(middle), "small")))
     return rounded(metrics.auroc(rows.withColumn("subset", F.explode(sets)), ["subset"]).select("subset", "auroc"), "auroc", digits=9)
 

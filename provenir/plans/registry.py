@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provenir.functions import cleaning, code, hashing, text
-from provenir.operators import checks, events, matching, metrics, pairs, retrieval, rollup, selection, splits
+from provenir.operators import checks, events, matching, metrics, pairs, quantiles, retrieval, rollup, selection, splits
 from provenir.runtime import cut, table
 from provenir.sources import readers
 
@@ -118,7 +118,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     """Halves with truth (1 human), a score that falls with the code's size, and the prediction at the median score."""
     rows = _halves(spark, d).select("idx", "pair_id", "model_key", "split", F.when(F.col("side") == "human", 1).when(F.col("side") == "lm", 0).alias("truth"), (-text.space_weight("code")).cast("double").alias("score"))
     rows = cut(rows, "scored")
-    middle = rows.agg(F.percentile("score", F.lit(0.5))).first()[0]
+    middle = quantiles.exact_quantiles(rows, "score", [0.5])[0]
     return rows.withColumn("pred", (F.col("score") >= F.lit(middle)).cast("int"))
 
 
@@ -284,8 +284,10 @@ LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("line_no", "tag").orderBy(F.col("written_at").desc_nulls_last())
-    return table(spark, d, "checkpoints").where("line_no is not null and tag is not null").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    """The last delivery of each checkpoint; equal times go by the rows' digests, so the choice is no chance."""
+    checkpoints = table(spark, d, "checkpoints")
+    w = Window.partitionBy("line_no", "tag").orderBy(F.col("written_at").desc_nulls_last(), F.xxhash64(*checkpoints.columns))
+    return checkpoints.where("line_no is not null and tag is not null").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
 @query("""SELECT line_no, tag, CASE WHEN n < 100 THEN 'under_100' WHEN n > 200 THEN 'over_200' WHEN n IS NOT NULL THEN 'type' || lpad((CASE WHEN n <= 110 THEN 1 ELSE (n - 101) // 10 + 1 END)::VARCHAR, 2, '0') || '_' || ((CASE WHEN n <= 110 THEN 1 ELSE (n - 101) // 10 + 1 END) * 10 + 100) END AS bin, count(*) AS rows
@@ -506,13 +508,13 @@ def text_counts(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", text.line_count("text").alias("lines"), text.word_count("text").alias("words"), text.space_tokens("text").alias("space_tokens"), text.space_weight("text").alias("space_weight"))
 
 
-@query(r"""WITH q AS (SELECT item_id AS query_id, item_text AS query_text FROM heldout_items WHERE item_id % 50 = 1), qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query_text), '\s+')) AS term FROM q) WHERE term <> ''),
+@query(r"""WITH q AS (SELECT item_id AS query_id, item_text AS query_text FROM heldout_items WHERE item_id % 50 = 0), qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query_text), '\s+')) AS term FROM q) WHERE term <> ''),
 dt AS (SELECT doc_id, term FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents) WHERE term <> ''), dl AS (SELECT doc_id, count(*) AS dl FROM dt GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM dt GROUP BY 1),
 ri AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM df, st), mi AS (SELECT avg(idf) AS m FROM ri), idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END AS idf FROM ri, mi), tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY 1, 2),
 sc AS (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), st GROUP BY 1, 2), rk AS (SELECT query_id, doc_id, source, score, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, doc_id) AS k FROM sc JOIN documents USING (doc_id))
 SELECT query_id, doc_id, source, round(score, 5) AS score, k::INT AS place FROM rk WHERE k <= 2""")
 def bm25_top2(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "heldout_items").where("item_id % 50 = 1").select(F.col("item_id").alias("query_id"), F.col("item_text").alias("query_text"))
+    asked = table(spark, d, "heldout_items").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("item_text").alias("query_text"))
     return rounded(retrieval.bm25(table(spark, d, "documents").select("doc_id", "text", "source"), asked, 2, "source").select("query_id", "doc_id", "source", "score", "place"), "score", digits=5)
 
 
