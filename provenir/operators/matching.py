@@ -26,13 +26,32 @@ def positional(blocks: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def enclosing(ranges: DataFrame, by: list[str], key: str) -> DataFrame:
-    """For each range (key, start_line, end_line) the smallest other range of its file that contains it; ties are no match."""
-    a = ranges.select(*by, F.col(key).alias("_k"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
-    b = ranges.select(*by, F.col(key).alias("outer"), F.col("start_line").alias("_os"), F.col("end_line").alias("_oe"))
-    inside = a.join(b, by).where("_os <= _s and _e <= _oe and (_os < _s or _e < _oe)").withColumn("_span", F.col("_oe") - F.col("_os"))
-    least = inside.groupBy(*by, "_k").agg(F.min(F.struct("_span", "outer")).alias("m"), F.min("_span").alias("_least"))
-    ties = inside.join(least, [*by, "_k"]).where("_span = _least").groupBy(*by, "_k").agg(F.count("*").alias("n"), F.min("outer").alias("outer"))
-    return ties.where("n = 1").select(*by, F.col("_k").alias(key), "outer")
+    """For each range (key, start_line, end_line) the smallest other range of its file that contains it; ties are no match.
+
+    A file's ranges are gone through in order with a stack of those still open, so the work is linear where ranges nest.
+    """
+    import pandas as pd
+
+    shape = ", ".join([*(f"`{c}` {dict(ranges.dtypes)[c]}" for c in by), f"`{key}` {dict(ranges.dtypes)[key]}", f"outer {dict(ranges.dtypes)[key]}"])
+
+    def nested(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["start_line", "end_line"], ascending=[True, False], kind="stable")
+        rows = list(zip(part[key], part["start_line"], part["end_line"]))
+        found, open_ = [], []
+        for k, s, e in rows:
+            open_ = [x for x in open_ if x[2] >= s]
+            around = [x for x in open_ if x[2] >= e and (x[1], x[2]) != (s, e)]
+            if around:
+                least = min(x[2] - x[1] for x in around)
+                best = [x for x in around if x[2] - x[1] == least]
+                if len(best) == 1:
+                    found.append((k, best[0][0]))
+            open_.append((k, s, e))
+        out = pd.DataFrame(found, columns=[key, "outer"])
+        return out.assign(**{c: part[c].iloc[0] for c in by})[[*by, key, "outer"]] if len(out) else pd.DataFrame({c: part[c].iloc[:0] for c in by} | {key: part[key].iloc[:0], "outer": part[key].iloc[:0]})
+
+    kept = ranges.where("start_line is not null and end_line is not null").where(" and ".join(f"`{c}` is not null" for c in by)).select(*by, key, "start_line", "end_line")
+    return kept.groupBy(*by).applyInPandas(nested, shape)
 
 
 def unused(rows: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:

@@ -38,13 +38,16 @@ def even_positions(total: int, k: int) -> list[int]:
 
 def by_fraction(rows: DataFrame, group: str, key: str, seed: str, shares: dict[str, float]) -> DataFrame:
     """A split per row: the seeded order of each group cut at the running shares."""
-    w = Window.partitionBy(group)
-    place = (F.row_number().over(w.orderBy(seeded(seed, key), key)) - 1) / F.count("*").over(w)
+    # places inside a group come from places in all, so a group is never one task
+    placed = with_positions(rows.withColumn("_h", seeded(seed, key)), [group, "_h", key], "_at")
+    sizes = placed.groupBy(group).agg(F.min("_at").alias("_first"), F.count("*").alias("_size")).withColumnRenamed(group, "_group")
+    placed = placed.join(sizes, placed[group].eqNullSafe(sizes["_group"]))
+    place = (F.col("_at") - F.col("_first")) / F.col("_size")
     out, edge = None, 0.0
     for name, share in shares.items():
         edge += share
         out = (F if out is None else out).when(place < edge - 1e-12, name)
-    return rows.withColumn("split", out.otherwise(list(shares)[-1]))
+    return placed.withColumn("split", out.otherwise(list(shares)[-1])).select(*rows.columns, "split")
 
 
 def by_pair(pairs: DataFrame, key: str, seed: str, shares: dict[str, float]) -> DataFrame:

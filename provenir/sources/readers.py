@@ -43,19 +43,54 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, required: lis
 
 
 def read_tsv_directory(spark: SparkSession, path: str, schema: T.StructType, truth: list[str], pred: list[str]) -> DataFrame:
-    """All .tsv files below a folder whose header has a truth and a prediction column, with the file each row came from; others are left out."""
-    files = [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tsv").load(path).select("path").collect()]
-    out = None
-    for f in sorted(files):
-        head = spark.read.option("header", True).option("sep", "\t").csv(f)
-        if pick_column(head, truth) and pick_column(head, pred):
-            part = read_csv(spark, f, schema, sep="\t").withColumn("file", F.lit(f))
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    """All .tsv files below a folder whose header has a truth and a prediction column, with the file each row came from; others are left out.
+
+    One scan for any number of files: every file is read whole by one task, and its own header
+    says where its columns are. Fields hold no tabs or line ends.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tsv").load(path)
+    lines = files.select(F.col("path").alias("file"), F.filter(F.split(F.decode("content", "UTF-8"), "\r\n|\n|\r"), lambda x: x != "").alias("lines")).where("size(lines) > 0")
+    named = lines.withColumn("head", F.transform(F.split(F.get("lines", F.lit(0)), "\t"), F.trim))
+    known = named.where(F.arrays_overlap("head", F.array(*map(F.lit, truth))) & F.arrays_overlap("head", F.array(*map(F.lit, pred))))
+    cells = known.select("file", "head", F.explode(F.slice("lines", 2, 2**31 - 1)).alias("line")).select("file", "head", F.split("line", "\t").alias("cells"))
+    value = lambda name: F.nullif(F.get("cells", (F.array_position("head", F.lit(name)) - 1).cast("int")), F.lit("")) if name else None
+    out = cells.select(*(F.when(F.array_contains("head", f.name), value(f.name)).try_cast(f.dataType).alias(f.name) for f in schema.fields), "file")
+    if not known.limit(1).count():
         raise ValueError(f"no file below {path} has the columns")
     return out
 
 
+def read_numbered_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines with file, line_no (from 1, blank lines counted), the object's fields and error (null for a line that parses).
+
+    Files of lines are numbered inside each file, which one task reads.
+    """
+    kept = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.posexplode(F.split(F.decode("content", "UTF-8"), "\r\n|\n")).alias("n", "line"))
+    rows = whole.where(F.trim("line") != "").select("file", (F.col("n") + 1).alias("line_no"), F.from_json("line", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    return rows.select("file", "line_no", *(F.col(f"r.{f.name}").alias(f.name) for f in schema.fields), F.when(F.col("r._corrupt_record").isNotNull(), "invalid_json").alias("error"))
+
+
+def read_parts(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
+    """The CSV parts of one name in all folders below root (one a commit), as one table with the folder each row came from."""
+    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).option("escape", '"').option("multiLine", True).schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).csv(root)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1)
+    return raw.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields), folder.alias("part"))
+
+
+def latest_file(spark: SparkSession, pattern: str) -> str | None:
+    """The last in order of the files that match a pattern."""
+    return spark.read.format("binaryFile").load(pattern).select(F.max("path")).first()[0]
+
+
+def input_files(spark: SparkSession, paths: list[str], suffix: str = ".py") -> DataFrame:
+    """(path, mode) of a file, of the files of a folder, or of those of a grid of folders, whichever each path is."""
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
+    root = F.filter(F.array(*(F.lit(p.rstrip("/")) for p in paths)), lambda p: (F.col("path") == p) | F.startswith(F.col("path"), F.concat(p, F.lit("/"))))[0]
+    below = F.size(F.split(F.substring("path", F.length(root) + 2, 2**31 - 1), "/"))
+    return whole.select("path", F.when(F.col("path") == root, "file").when(below == 1, "folder").otherwise("grid").alias("mode"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines with blanks skipped; a line that doesn't parse keeps its text in _corrupt_record. gzip is read as it is."""
     kept = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
@@ -69,8 +104,11 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """One id a line, blanks and # comments skipped; ids that stand twice are an error."""
-    ids = spark.read.text(path).select(F.trim("value").alias("id")).where("id <> '' and not startswith(id, '#')")
+    """One id a line (or the first field of a CSV with that header), blanks and # comments skipped; ids that stand twice, in one file or in several, and strange signs are errors."""
+    lines = spark.read.text(path).select(F.trim("value").alias("id")).where("id <> '' and not startswith(id, '#')")
+    ids = lines.select(F.regexp_replace(F.split("id", ",")[0], '^"|"$', "").alias("id")).where("id not in ('function_event_id', 'event_id')")
+    if bad := [r["id"] for r in ids.where("not id rlike '^[A-Za-z0-9_.:/@#-]+$'").limit(5).collect()]:
+        raise ValueError(f"ids with other signs than letters, digits and _.:/@#-: {bad}")
     if twice := [r["id"] for r in ids.groupBy("id").count().where("count > 1").limit(5).collect()]:
         raise ValueError(f"repeated ids: {twice}")
     return ids
