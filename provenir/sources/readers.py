@@ -84,7 +84,7 @@ def latest_file(spark: SparkSession, pattern: str) -> str | None:
 
 
 def input_files(spark: SparkSession, paths: list[str], suffix: str = ".py") -> DataFrame:
-    """(path, mode) of a file, of the files of a folder, or of those of a grid of folders, whichever each path is."""
+    """(path, mode) of a file, of the files of a folder, or of those of a grid of folders, whichever each path is; files of no bytes hold nothing and are left out."""
     whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
     root = F.filter(F.array(*(F.lit(p.rstrip("/")) for p in paths)), lambda p: (F.col("path") == p) | F.startswith(F.col("path"), F.concat(p, F.lit("/"))))[0]
     below = F.size(F.split(F.substring("path", F.length(root) + 2, 2**31 - 1), "/"))

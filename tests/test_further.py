@@ -153,6 +153,6 @@ def test_sinks_and_readers_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.read_id_list(spark, str(tmp_path / "bad.txt"))
     (tmp_path / "in" / "d").mkdir(parents=True)
-    (tmp_path / "in" / "a.py").write_text("")
-    (tmp_path / "in" / "d" / "b.py").write_text("")
+    (tmp_path / "in" / "a.py").write_text("x")
+    (tmp_path / "in" / "d" / "b.py").write_text("x")
     assert {(r["path"].rsplit("/", 1)[1], r["mode"]) for r in readers.input_files(spark, [str(tmp_path / "in")]).collect()} == {("a.py", "folder"), ("b.py", "grid")}
