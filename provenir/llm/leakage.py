@@ -391,6 +391,11 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("doc_id", "span").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count_distinct("item_id").alias("items")).drop("span")
 
 
+def p8_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item word for word: the leaks of score 1."""
+    return _leaks(spark, sf_dir).where("score >= 1").select("doc_id", "item_id").distinct()
+
+
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per held-out item that leaked, wholly or from PARTLY on: documents that leak it, those that hold a lesser part, and the best score."""
     names = table(spark, sf_dir, "heldout_items").select("item_id", "suite", "item_kind").dropDuplicates(["item_id"])

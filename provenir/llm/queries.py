@@ -9,7 +9,7 @@ QUERIES = {
     for f in (
         split_overlap.p1_found, split_overlap.p1_report, truncation.p2_found, truncation.p2_report, syntax.p3_found, syntax.p3_files, syntax.p3_report, answers.p4_found, answers.p4_report,
         file_origin.p5_found, file_origin.p5_report, group_splits.p6_found, group_splits.p6_assignment, group_splits.p6_report, group_splits.p6_invariants, near_duplicates.p7_found, near_duplicates.p7_links, near_duplicates.p7_groups,
-        leakage.p8_found, leakage.p8_spans, leakage.p8_report, mixing.p9_selection, mixing.p9_report, mixing.p9_checks, personal_data.p10_found, personal_data.p10_redacted, personal_data.p10_report,
+        leakage.p8_found, leakage.p8_spans, leakage.p8_verbatim, leakage.p8_report, mixing.p9_selection, mixing.p9_report, mixing.p9_checks, personal_data.p10_found, personal_data.p10_redacted, personal_data.p10_report,
     )
 }
 
@@ -23,6 +23,19 @@ p AS (SELECT DISTINCT a.key AS ka, b.key AS kb FROM r a JOIN r b ON a.s = b.s AN
 l AS (SELECT ka, kb FROM p JOIN t x ON x.key = ka JOIN t y ON y.key = kb WHERE len(list_intersect(x.g, y.g)) >= 0.7 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))))
 """
 
+_WORDS = "' ' || array_to_string(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'), ' ') || ' '"
+
+
+def _tied(field: str, source: str) -> str:
+    """Groups of one field's records over like and equal texts, with links and copies."""
+    return f"""SELECT '{field}' AS field, * FROM (WITH RECURSIVE source AS ({source}), {_LIKE.strip()},
+m AS (SELECT DISTINCT key, text FROM source WHERE key IS NOT NULL AND text IS NOT NULL AND trim(text, E' \\t\\n\\r') <> ''), same AS (SELECT a.key AS ka, b.key AS kb FROM m a JOIN m b ON a.text = b.text WHERE a.key <> b.key),
+both_ways AS (SELECT ka, kb FROM l UNION SELECT kb, ka FROM l), edge AS (SELECT ka, kb FROM both_ways UNION SELECT ka, kb FROM same),
+walk(x, y) AS (SELECT key, key FROM m UNION SELECT walk.x, edge.kb FROM walk JOIN edge ON walk.y = edge.ka)
+SELECT m.key, g.group_key, coalesce(k.links, 0) AS links, c.copies FROM m JOIN (SELECT x, min(y) AS group_key FROM walk GROUP BY 1) g ON g.x = m.key JOIN (SELECT text, count(*) AS copies FROM m GROUP BY 1) c ON c.text = m.text
+LEFT JOIN (SELECT b.ka, count(DISTINCT o.text) AS links FROM both_ways b JOIN m a ON a.key = b.ka JOIN m o ON o.key = b.kb WHERE a.text <> o.text GROUP BY 1) k ON k.ka = m.key)"""
+
+
 ORACLE_SQL = {
     "p1_found": f"""
 WITH source AS (SELECT idx AS key, code AS text FROM code_pairs WHERE idx IS NOT NULL AND split IS NOT NULL), {_LIKE.strip()},
@@ -37,6 +50,10 @@ SELECT x AS line_no, least(x, min(y)) AS group_line_no FROM walk GROUP BY x""",
     "p6_invariants": """
 SELECT count(DISTINCT line_no) AS lines, count(DISTINCT line_no) AS distinct_lines, 0::BIGINT AS without_split, 0::BIGINT AS torn, 1 AS shares_met FROM checkpoints WHERE line_no IS NOT NULL AND tag IS NOT NULL""",
     "p9_checks": "SELECT source, 1 AS share_met, 1 AS repeats_kept, 1 AS ids_kept FROM mix_targets WHERE source IS NOT NULL",
+    "p7_groups": _tied("code", "SELECT idx AS key, code AS text FROM code_pairs WHERE idx IS NOT NULL") + " UNION ALL " + _tied("agc_code", "SELECT line_no || '_' || tag AS key, agc_code AS text FROM checkpoints WHERE line_no IS NOT NULL AND tag IS NOT NULL"),
+    "p8_verbatim": f"""
+SELECT d.doc_id, i.item_id FROM (SELECT DISTINCT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) d
+JOIN (SELECT DISTINCT item_id, {_WORDS.format("item_text")} AS w FROM heldout_items WHERE item_id IS NOT NULL AND item_text IS NOT NULL) i ON contains(d.w, i.w) WHERE trim(i.w) <> '' GROUP BY 1, 2""",
     "p7_found": f"""
 SELECT 'code' AS field, ka AS key_a, kb AS key_b FROM (WITH source AS (SELECT idx AS key, code AS text FROM code_pairs WHERE idx IS NOT NULL), {_LIKE.strip()} SELECT DISTINCT ka, kb FROM l)
 UNION ALL
