@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from provenir.runtime import cut
 
 
 def require_columns(df: DataFrame, required: list[str], label: str) -> DataFrame:
@@ -119,10 +122,33 @@ def write_splits(df: DataFrame, path: str, column: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(column).parquet(path)
 
 
-def write_content_addressed(df: DataFrame, text: str, path: str) -> None:
-    """Each distinct text once, under its SHA-256, in folders by the hash's first two digits."""
-    keyed = df.where(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("sha256"), F.col(text).alias("content")).dropDuplicates(["sha256"])
-    keyed.withColumn("prefix", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
+def write_content_addressed(df: DataFrame, text: str, path: str) -> DataFrame:
+    """Each distinct text once, under its SHA-256, in folders by the hash's first two digits; what is there already is used again. Gives the hashes that are new."""
+    spark = df.sparkSession
+    keyed = df.where(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("sha256"), F.col(text).alias("content")).dropDuplicates(["sha256"]).withColumn("prefix", F.substring("sha256", 1, 2))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        shape = T.StructType([T.StructField("sha256", T.StringType()), T.StructField("prefix", T.StringType())])
+        keyed = keyed.join(spark.read.schema(shape).parquet(path).select("sha256"), "sha256", "left_anti")
+    made = cut(keyed, "content")
+    made.write.mode("append").partitionBy("prefix").parquet(path)
+    return made.select("sha256")
+
+
+def rendered_sample(blocks: DataFrame, sample: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """From blocks (sample, order, function_name, label, source_idx, code): each sample's text, and the truth table of its blocks.
+
+    A text has four lines of head, then the blocks parted by a blank line; the truth table has block_idx from 1
+    and the lines a block takes up. Samples are a few blocks each.
+    """
+    clean = F.regexp_replace("code", "\\s+$", "")
+    b = blocks.select(sample, F.col(order).alias("_o"), "function_name", "label", "source_idx", clean.alias("code"), F.size(F.split(clean, "\\r\\n|\\r|\\n")).alias("_lines"))
+    w = Window.partitionBy(sample).orderBy("_o")
+    placed = b.withColumn("block_idx", F.row_number().over(w)).withColumn("_before", F.coalesce(F.sum(F.col("_lines") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    truth = placed.select(sample, "block_idx", "function_name", (F.col("_before") + 5).cast("int").alias("start_line"), (F.col("_before") + 4 + F.col("_lines")).cast("int").alias("end_line"), "label", "source_idx")
+    head = F.concat(F.lit("# mixed sample "), F.col(sample).cast("string"), F.lit("\n# blocks: "), F.count("*").cast("string"), F.lit("\n# truth is in the table beside\n#\n"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "code"))), lambda x: x["code"]), "\n\n")
+    return placed.groupBy(sample).agg(F.concat(head, listed, F.lit("\n")).alias("text")), truth
 
 
 def two_rows(df: DataFrame, key: str, human: str, machine: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from provenir.functions import code, continuation, text
 from provenir.operators import audits, matching, pairs, quantiles, splits
 from provenir.runtime import blocked_join, spread
-from provenir.sources import readers, sinks
+from provenir.sources import readers, sinks, snapshots
 
 PROMPT = 'def f(a):\n    """Doc."""\n'
 
@@ -156,3 +156,51 @@ def test_sinks_and_readers_round_trip(spark, tmp_path):
     (tmp_path / "in" / "a.py").write_text("x")
     (tmp_path / "in" / "d" / "b.py").write_text("x")
     assert {(r["path"].rsplit("/", 1)[1], r["mode"]) for r in readers.input_files(spark, [str(tmp_path / "in")]).collect()} == {("a.py", "folder"), ("b.py", "grid")}
+
+
+def test_snapshots_blobs_and_caches(spark, tmp_path):
+    import subprocess
+
+    for source, commit in (("treatment", "abcdef1"), ("control", "1234567"), ("other", "abcdef2"), ("treatment", "nothex")):
+        (tmp_path / "snap" / source / "repo" / commit).mkdir(parents=True)
+        (tmp_path / "snap" / source / "repo" / commit / "a.py").write_text("x")
+    found = snapshots.discover_snapshots(spark, str(tmp_path / "snap")).collect()
+    assert {(r["dataset_source"], r["commit"], r["files"]) for r in found} == {("treatment", "abcdef1", 1), ("control", "1234567", 1)}
+    clone = tmp_path / "clone"
+    clone.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(clone), "-c", "user.name=n", "-c", "user.email=e", *a], check=True, capture_output=True, text=True).stdout.strip()
+    git("init", "-q")
+    (clone / "d").mkdir()
+    (clone / "d" / "a.py").write_text("x = 1\n\ny = 2")
+    (clone / "b.py").write_text("é")
+    git("add", "."), git("commit", "-qm", "m")
+    head = git("rev-parse", "HEAD")
+    wanted = spark.createDataFrame([(str(clone), head, p) for p in ("d/a.py", "b.py", "d", "none.py", "d/a.py")] + [(None, head, "b.py")], "clone string, commit string, path string")
+    assert {(r["path"], r["text"]) for r in snapshots.read_blobs(wanted).collect()} == {("d/a.py", "x = 1\n\ny = 2"), ("b.py", "é"), ("d", None), ("none.py", None)}
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    assert [snapshots.cached(make, str(tmp_path / "cache"), f, spark).count() for f in ("f1", "f1", "f2")] == [3, 3, 3] and len(made) == 2
+    texts = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "t string")
+    assert [readers.write_content_addressed(x, "t", str(tmp_path / "store")).count() for x in (texts, texts, spark.createDataFrame([("c",)], "t string"))] == [2, 0, 1]
+
+
+def test_rendered_samples_have_the_lines_of_the_rule(spark):
+    sizes = [12, 36, 16, 31, 19, 16]
+    rows = [(1, k, f"f{k}", "human", f"s{k}", "\n".join(["x"] * n) + "\n\n") for k, n in enumerate(sizes)]
+    made, truth = readers.rendered_sample(spark.createDataFrame(rows, "sample int, k int, function_name string, label string, source_idx string, code string"), "sample", "k")
+    spans = [(r["start_line"], r["end_line"]) for r in truth.orderBy("block_idx").collect()]
+    assert spans == [(5, 16), (18, 53), (55, 70), (72, 102), (104, 122), (124, 139)]
+    lines = made.first()["text"].split("\n")
+    assert all(lines[s - 1 : e] == ["x"] * (e - s + 1) and lines[e] == "" for s, e in spans)
+
+
+def test_the_largest_stored_model_is_loaded(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer
+
+    for name in ("m_900", "m_4500", "n_9999"):
+        Pipeline(stages=[SQLTransformer(statement=f"SELECT *, '{name}' AS model FROM __THIS__")]).fit(spark.range(1)).write().overwrite().save(str(tmp_path / name))
+    model, key = snapshots.load_estimator(spark, str(tmp_path), "m_")
+    assert key == "m_4500" and model.transform(spark.range(1)).first()["model"] == "m_4500"
+    with pytest.raises(ValueError):
+        snapshots.load_estimator(spark, str(tmp_path), "z")
