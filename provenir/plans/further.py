@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.functions import code, continuation, text
+from provenir.functions import code, continuation, text, transforms
 from provenir.operators import audits, checks, metrics, pairs, quantiles, rollup
 from provenir.plans.registry import OCC, PAIRS, ROLLUP, SCORED, SWEEP, _halves, _latest, _rollup, _scored, _swept, query, rounded
 from provenir.runtime import cut, table
@@ -371,3 +371,10 @@ def eligible_scores(spark: SparkSession, d: str) -> DataFrame:
     kept = every.where("max_tokens <= 420")
     scored = pairs.percent_ranks(pairs.percent_ranks(kept, "max_tokens", "token_pct"), "max_lines", "line_pct").select("pair_id", ((F.col("token_pct") + F.col("line_pct")) / 2).alias("score"))
     return rounded(every.select("pair_id").join(scored, "pair_id", "left"), "score")
+
+
+@query()
+def source_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens and names of every human source by number, and the digests of its token sequence in all modes, for Python, Java and C++."""
+    rows = table(spark, d, "candidates").where("line_no is not null").select("line_no", F.concat(F.coalesce("prompt", F.lit("")), F.coalesce("solution", F.lit(""))).alias("source"), text.language_of_path("relative_path").alias("language"))
+    return continuation.with_columns(rows.withColumn("lang", F.col("language")), ["source", "lang"], transforms.profile, transforms.PROFILE)

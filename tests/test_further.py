@@ -204,3 +204,24 @@ def test_the_largest_stored_model_is_loaded(spark, tmp_path):
     assert key == "m_4500" and model.transform(spark.range(1)).first()["model"] == "m_4500"
     with pytest.raises(ValueError):
         snapshots.load_estimator(spark, str(tmp_path), "z")
+
+
+def test_transforms_of_three_languages():
+    from provenir.functions import transforms as t
+
+    py = "def area(width, height=1):  # the area\n    # of a box\n    total = width * height\n    for i, j in pairs:\n        total += self.total\n    return '# no comment' + f(total)\n"
+    java = 'class A {\n    /* sum */ static int sum(List<Integer> xs, int from) {\n        int total = 0; // start\n        for (int x : xs) { total += x; }\n        return this.total("// no");\n    }\n}\n'
+    cpp = "#include <map>  // maps\nint count(const std::map<int, long>& m, int least) {\n    auto n = 0;\n    for (const auto& kv : m) n += kv.second;\n    return n; /* done */\n}\n"
+    for code_, lang in ((py, "python"), (java, "java"), (cpp, "cpp")):
+        assert "".join(x for _, x in t.scanned(code_, lang)) == code_
+    assert t.names(py, "python")["functions"] == ["area"] and t.names(py, "python")["variables"] == ["width", "height", "total", "i", "j"]
+    assert t.names(java, "java")["functions"] == ["sum"] and t.names(java, "java")["variables"] == ["xs", "from", "total", "x"]
+    assert t.names(cpp, "cpp")["functions"] == ["count"] and t.names(cpp, "cpp")["variables"] == ["m", "least", "n", "kv"]
+    assert t.without_comments(py, "python").count("#") == 1 and "of a box" not in t.without_comments(py, "python") and "# no comment" in t.without_comments(py, "python")
+    assert "sum */" not in t.without_comments(java, "java") and '"// no"' in t.without_comments(java, "java") and "done" not in t.without_comments(cpp, "cpp")
+    assert "var_3 += self.total" in t.renamed(py, "python", "variables") and "def func_1(width" in t.renamed(py, "python", "functions") and "var_3 += var_4" in t.renamed(java, "java", "variables") and "this.total" in t.renamed(java, "java", "variables")
+    assert t.token_sequence("f(a[1])", "java") == ["f", "list::left", "a", "index::left", "1", "index::right", "list::right"] and t.token_sequence("f(", "cpp") == ["f", "list::left", "list::right"] and t.token_sequence(None, "python") == []
+    assert t.transformed(py, "python", "comments") == t.transformed(py, "python", "plain") and t.profile("x", "ruby") == (None,) * 9
+    for bad in (lambda: t.scanned("x", "ruby"), lambda: t.transformed("x", "java", "odd")):
+        with pytest.raises(ValueError):
+            bad()
