@@ -128,7 +128,8 @@ def cleaned_second(prompt: str | None, output: str | None) -> str:
     return "\n" + "\n".join(short + x.expandtabs(4) if x.strip() else x for x in lines).rstrip() + "\n"
 
 
-def _parses(code: str) -> bool:
+def parses(code: str) -> bool:
+    """Whether a source is valid Python as a module."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -178,7 +179,7 @@ def extracted_body(prompt: str | None, response: str | None) -> str:
     indent = indent or "    "
     as_is = "\n" if not text.rstrip() else ("" if text.startswith("\n") else "\n") + text.rstrip() + "\n"
     tries = dict.fromkeys([as_is, *(_as_body(x, indent) for x in (text, textwrap.dedent(text), _left(text), textwrap.dedent(_left(text))))])
-    return next((x for x in tries if _parses(prompt.rstrip() + x)), list(tries)[-1])
+    return next((x for x in tries if parses(prompt.rstrip() + x)), list(tries)[-1])
 
 
 def header_alignment(source: str | None, decorated: bool) -> dict:

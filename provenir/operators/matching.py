@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,28 +33,29 @@ def enclosing(ranges: DataFrame, by: list[str], key: str) -> DataFrame:
 
     A file's ranges are gone through in order with a stack of those still open, so the work is linear where ranges nest.
     """
-    import pandas as pd
-
-    shape = ", ".join([*(f"`{c}` {dict(ranges.dtypes)[c]}" for c in by), f"`{key}` {dict(ranges.dtypes)[key]}", f"outer {dict(ranges.dtypes)[key]}"])
-
-    def nested(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["start_line", "end_line"], ascending=[True, False], kind="stable")
-        rows = list(zip(part[key], part["start_line"], part["end_line"]))
-        found, open_ = [], []
-        for k, s, e in rows:
-            open_ = [x for x in open_ if x[2] >= s]
-            around = [x for x in open_ if x[2] >= e and (x[1], x[2]) != (s, e)]
-            if around:
-                least = min(x[2] - x[1] for x in around)
-                best = [x for x in around if x[2] - x[1] == least]
-                if len(best) == 1:
-                    found.append((k, best[0][0]))
-            open_.append((k, s, e))
-        out = pd.DataFrame(found, columns=[key, "outer"])
-        return out.assign(**{c: part[c].iloc[0] for c in by})[[*by, key, "outer"]] if len(out) else pd.DataFrame({c: part[c].iloc[:0] for c in by} | {key: part[key].iloc[:0], "outer": part[key].iloc[:0]})
+    kinds = dict(ranges.dtypes)
+    shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"`{key}` {kinds[key]}", f"outer {kinds[key]}"])
+
+    def nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, open_ = None, []
+        for batch in batches:
+            found = []
+            for *where, k, s, e in zip(*(c.to_pylist() for c in batch.columns)):
+                if where != file:
+                    file, open_ = where, []
+                open_ = [x for x in open_ if x[2] >= s]
+                around = [x for x in open_ if x[2] >= e and (x[1], x[2]) != (s, e)]
+                if around:
+                    least = min(x[2] - x[1] for x in around)
+                    best = [x[0] for x in around if x[2] - x[1] == least]
+                    if len(best) == 1:
+                        found.append((*where, k, best[0]))
+                open_.append((k, s, e))
+            made = [pa.array([f[i] for f in found], batch.schema.field(min(i, len(by))).type) for i in range(len(by) + 2)]
+            yield pa.RecordBatch.from_arrays(made, [*by, key, "outer"])
 
     kept = ranges.where("start_line is not null and end_line is not null").where(" and ".join(f"`{c}` is not null" for c in by)).select(*by, key, "start_line", "end_line")
-    return kept.groupBy(*by).applyInPandas(nested, shape)
+    return kept.repartition(*by).sortWithinPartitions(*by, "start_line", F.desc("end_line"), key).mapInArrow(nested, shape)
 
 
 def unused(rows: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:

@@ -281,7 +281,7 @@ def continuations(spark: SparkSession, d: str) -> DataFrame:
     """Every answer to a Python prompt cleaned in both ways and as a body, and whether each parses behind its prompt."""
     def make(prompt: str | None, raw: str | None) -> tuple:
         one, two, body = continuation.cleaned(prompt, raw), continuation.cleaned_second(prompt, raw), continuation.extracted_body(prompt, raw)
-        return one, two, body, *(code.analyse(continuation.textwrap.dedent(continuation.plain(prompt) + x).strip() + "\n")["ok"] for x in (one, two, body))
+        return one, two, body, *(continuation.parses(code.composed(continuation.plain(prompt), x)) for x in (one, two, body))
 
     return continuation.with_columns(_prompted(spark, d).drop("solution"), ["prompt", "raw_output"], make, "cleaned string, second string, body string, cleaned_ok boolean, second_ok boolean, body_ok boolean")
 
