@@ -22,6 +22,20 @@ def running_totals(rows: DataFrame, order: list[str], weight: str, out: str, des
     return placed.withColumn(out, F.coalesce(inside, F.lit(0)) + start).drop("_part")
 
 
+def running_maximum(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """rows with the greatest value of all rows that come before each in falling order (null for the first), by range partitions and their maxima."""
+    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    placed = cut(rows.repartitionByRange(parts, F.col(order).desc()).withColumn("_part", F.spark_partition_id()), "maxima")
+    best, starts = None, {}
+    for r in placed.groupBy("_part").agg(F.max(value).alias("m")).orderBy("_part").collect():
+        starts[r["_part"]] = best
+        best = r["m"] if best is None or r["m"] is not None and r["m"] > best else best
+    kind = placed.schema[value].dataType
+    start = F.element_at(F.create_map(*[x for k, v in starts.items() for x in (F.lit(k), F.lit(v).cast(kind))]), F.col("_part")) if starts else F.lit(None).cast(kind)
+    inside = F.max(value).over(Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn(out, F.greatest(inside, start)).drop("_part")
+
+
 def exact_quantiles(rows: DataFrame, value: str, points: list[float]) -> list[float | None]:
     """The linear quantiles of a column's values that aren't null; None each where there are none.
 

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from provenir.operators.quantiles import running_maximum
+
 
 def matrix(cells: DataFrame, row: str, column: str, value: str, names: list[str]) -> DataFrame:
     """Long cells as one row per row name and one column per name given."""
@@ -44,9 +46,9 @@ def regret(rows: DataFrame, by: list[str], first: str, second: str) -> DataFrame
 
 
 def pareto(rows: DataFrame, key: str, first: str, second: str) -> DataFrame:
-    """Rows that no other row beats or equals in both metrics and beats in one: a running maximum, no join of all with all."""
+    """Rows that no other row beats or equals in both metrics and beats in one: a running maximum over range partitions, no join of all with all and no task that sees all."""
     by_first = rows.groupBy(first).agg(F.max(second).alias("_top"))
-    above = by_first.withColumn("_above", F.max("_top").over(Window.orderBy(F.desc(first)).rowsBetween(Window.unboundedPreceding, -1)))
+    above = running_maximum(by_first, first, "_top", "_above")
     good = above.where("_above is null or _top > _above").select(F.col(first).alias("_f"), "_top")
     return rows.join(good, (rows[first] == good["_f"]) & (rows[second] == good["_top"]), "left_semi")
 

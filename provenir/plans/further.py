@@ -378,3 +378,42 @@ def source_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and names of every human source by number, and the digests of its token sequence in all modes, for Python, Java and C++."""
     rows = table(spark, d, "candidates").where("line_no is not null").select("line_no", F.concat(F.coalesce("prompt", F.lit("")), F.coalesce("solution", F.lit(""))).alias("source"), text.language_of_path("relative_path").alias("language"))
     return continuation.with_columns(rows.withColumn("lang", F.col("language")), ["source", "lang"], transforms.profile, transforms.PROFILE)
+
+
+#: What no frozen unit may be, as conditions that both dialects read; RE stands for the function that finds a pattern.
+FREEZE = {
+    "null_unit": "code_unit_id IS NULL", "null_path": "relative_path IS NULL", "null_snapshot": "snapshot_id IS NULL", "bad_file_hash": "file_sha256 IS NOT NULL AND NOT RE(lower(file_sha256), '^[0-9a-f]{64}$')", "bad_source_hash": "ml_source_sha256 IS NOT NULL AND NOT RE(lower(ml_source_sha256), '^[0-9a-f]{64}$')",
+    "bad_commit": "snapshot_commit IS NOT NULL AND NOT RE(lower(snapshot_commit), '^[0-9a-f]{7,40}$')", "unsafe_path": "RE(relative_path, '(^/)|((^|/)[.][.](/|$))')", "bad_repo": "repo_name IS NOT NULL AND NOT RE(repo_name, '^[^/]+/[^/]+$')", "unknown_source": "lower(dataset_source) NOT IN ('treatment', 'control')",
+    "unknown_mode": "score_mode NOT IN ('decision', 'proba')", "null_mode": "score_mode IS NULL", "bad_class": "predicted_agc NOT IN (0, 1)", "null_class": "predicted_agc IS NULL", "one_score_only": "(human_decision_score IS NULL) <> (ml_agc_score IS NULL)",
+    "decision_not_negative": "score_mode = 'decision' AND abs(human_decision_score + ml_agc_score) > 0.000002", "proba_not_complement": "score_mode = 'proba' AND abs(human_decision_score + ml_agc_score - 1) > 0.000002", "proba_out_of_range": "score_mode = 'proba' AND (ml_agc_score < 0 OR ml_agc_score > 1)",
+    "verdict_off_score": "(score_mode = 'decision' AND predicted_agc <> CASE WHEN ml_agc_score > 0 THEN 1 ELSE 0 END) OR (score_mode = 'proba' AND predicted_agc <> CASE WHEN ml_agc_score > 0.5 THEN 1 ELSE 0 END)", "no_tokens": "npr_body_space_by_token_count IS NULL OR npr_body_space_by_token_count < 1",
+    "unknown_role": "aggregation_role NOT IN ('primary', 'nested')", "unknown_type": "code_unit_type NOT IN ('method_body', 'function_body')", "null_model": "model_key IS NULL", "bad_key": "repo_key IS NOT NULL AND RE(repo_key, '[[:space:]]')",
+}
+
+
+@query("WITH c AS (" + " UNION ALL ".join(f"""SELECT '{n}' AS "check", count(*) FILTER ({x.replace("RE(", "regexp_matches(")}) AS observed FROM occurrences""" for n, x in FREEZE.items()) + """ UNION ALL SELECT 'repeated_unit', count(*) FROM (SELECT snapshot_id, relative_path, lower(file_sha256), code_unit_id FROM occurrences GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT (predicted_agc, ml_agc_score)) > 1)
+UNION ALL SELECT 'models', count(DISTINCT model_key) FROM occurrences) SELECT "check", observed, CASE WHEN "check" = 'models' THEN 1 ELSE 0 END::BIGINT AS expected, (observed = CASE WHEN "check" = 'models' THEN 1 ELSE 0 END)::INT AS passed FROM c""")
+def freeze_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of all that scored units may not be, in one pass, units with two verdicts, and the models there are."""
+    occ = table(spark, d, "occurrences")
+    one = occ.agg(*(F.count_if(F.expr(x.replace("RE(", "regexp_like(").replace("[[:space:]]", "\\\\s"))).alias(n) for n, x in FREEZE.items()), F.count_distinct("model_key").alias("models"))
+    unit = occ.groupBy("snapshot_id", "relative_path", F.lower("file_sha256").alias("f"), "code_unit_id").agg(F.count_distinct(F.struct(F.coalesce(F.col("predicted_agc").cast("string"), F.lit("")), F.coalesce(F.col("ml_agc_score").cast("string"), F.lit("")))).alias("n"))
+    checks_ = [*FREEZE, "models"]
+    found = one.select(F.inline(F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).alias("observed")) for n in checks_)))).union(unit.agg(F.lit("repeated_unit").alias("check"), F.count_if(F.col("n") > 1).alias("observed")))
+    return found.withColumn("expected", F.when(F.col("check") == "models", 1).otherwise(0).cast("bigint")).withColumn("passed", (F.col("observed") == F.col("expected")).cast("int"))
+
+
+@query()
+def complexity_full(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs by the mean of three percent ranks (tree tokens, lines, decisions, each the greater of its halves), ties by decisions, tokens, lines and id; pairs of which a half doesn't parse have no place."""
+    def make(source: str | None) -> tuple:
+        found = code.analyse(source)
+        return found["complexity"], found["nodes"]
+
+    halves = _halves(spark, d).where("code is not null and side is not null").select("pair_id", "side", text.line_count("code").alias("lines"), "code")
+    sized = continuation.with_columns(halves, ["code"], make, "cc int, nodes int").groupBy("pair_id").agg(F.count_distinct("side").alias("sides"), F.count("cc").alias("parsed"), F.max("cc").alias("max_cc"), F.max("nodes").alias("max_ast"), F.max("lines").alias("max_lines"))
+    whole = cut(sized.where("sides = 2 and parsed = 2").drop("sides", "parsed"), "sized")
+    for column in ("max_ast", "max_lines", "max_cc"):
+        whole = pairs.percent_ranks(whole, column, f"{column}_pct")
+    scored = whole.withColumn("score", F.round((F.col("max_ast_pct") + F.col("max_lines_pct") + F.col("max_cc_pct")) / 3, 12))
+    return pairs.with_positions(scored, ["score", "max_cc", "max_ast", "max_lines", "pair_id"], "place").select("pair_id", "max_cc", "max_ast", "max_lines", "score", "place")
