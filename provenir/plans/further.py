@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenir.functions import code, continuation, text, transforms
-from provenir.operators import audits, checks, metrics, pairs, quantiles, rollup
+from provenir.operators import audits, checks, metrics, pairs, quantiles, rollup, search
 from provenir.plans.registry import OCC, PAIRS, ROLLUP, SCORED, SWEEP, _halves, _latest, _rollup, _scored, _swept, query, rounded
 from provenir.runtime import cut, table
 from provenir.sources import sinks
@@ -417,3 +417,16 @@ def complexity_full(spark: SparkSession, d: str) -> DataFrame:
         whole = pairs.percent_ranks(whole, column, f"{column}_pct")
     scored = whole.withColumn("score", F.round((F.col("max_ast_pct") + F.col("max_lines_pct") + F.col("max_cc_pct")) / 3, 12))
     return pairs.with_positions(scored, ["score", "max_cc", "max_ast", "max_lines", "pair_id"], "place").select("pair_id", "max_cc", "max_ast", "max_lines", "score", "place")
+
+
+@query()
+def model_search(spark: SparkSession, d: str) -> DataFrame:
+    """Settings of four families by macro F1 on dev, human against machine by sizes of code, and the best one's macro F1 on test."""
+    rows = _halves(spark, d).where("code is not null and side is not null").select(
+        "split", (F.col("side") == "human").cast("double").alias("label"), *(c.cast("double").alias(n) for n, c in (("lines", text.line_count("code")), ("words", text.word_count("code")), ("spaces", text.space_weight("code")), ("chars", F.length("code")))))
+    rows = cut(rows, "search")
+    of = lambda name: rows.where(F.col("split") == name)
+    found, best = search.random_search(of("train"), of("dev"), ["lines", "words", "spaces", "chars"], ["lr", "svm", "dt", "rf"], 2)
+    on_test = search.macro_f1(best.transform(of("test"))) if best else None
+    shape = "family string, setting string, f1_macro double, place int, test_f1_macro double"
+    return rounded(spark.createDataFrame([(r["family"], r["setting"], r["f1_macro"], r["place"], on_test if r["place"] == 1 else None) for r in found], shape), "f1_macro", "test_f1_macro")

@@ -225,3 +225,26 @@ def test_transforms_of_three_languages():
     for bad in (lambda: t.scanned("x", "ruby"), lambda: t.transformed("x", "java", "odd")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_random_search_finds_what_separates(spark):
+    from provenir.operators import search
+
+    rng = random.Random(3)
+    rows = [(float(y), rng.random() + y, rng.random()) for y in (0, 1) for _ in range(80)]
+    df = spark.createDataFrame(rows, "label double, a double, b double")
+    found, best = search.random_search(df, df, ["a", "b"], ["lr", "dt"], 2)
+    assert len(found) == 4 and [r["place"] for r in found] == [1, 2, 3, 4] and found[0]["f1_macro"] > 0.9 and search.macro_f1(best.transform(df)) == found[0]["f1_macro"]
+    assert search.random_search(df.where("label = 1"), df, ["a", "b"], ["lr"], 1) == ([], None)
+    perfect = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0), (1.0, 0.0)], "label double, prediction double")
+    assert math.isclose(search.macro_f1(perfect), 2 / 3)
+    assert search.draws("lr", 99, 1) == search.draws("lr", 99, 1) and len(search.draws("lr", 99, 1)) == 12
+
+
+def test_running_maximum_and_pareto(spark):
+    from provenir.operators import selection
+
+    rng = random.Random(8)
+    rows = [(f"c{i}", rng.randrange(20) / 10, rng.randrange(20) / 10) for i in range(80)]
+    got = {r["k"] for r in selection.pareto(spark.createDataFrame(rows, "k string, a double, b double"), "k", "a", "b").collect()}
+    assert got == {k for k, a, b in rows if not any(x >= a and y >= b and (x > a or y > b) for _, x, y in rows)}
