@@ -285,3 +285,43 @@ def node_counts(code: str | None) -> dict[str, int]:
     for n in ast.walk(tree):
         out[type(n).__name__] = out.get(type(n).__name__, 0) + 1
     return out
+
+
+def located(source: str | None, begin: int, end: int) -> dict:
+    """The function whose body is the source's signs from begin to end (not included), outer blanks and a leading docstring aside: its dotted name, kind, lines and the fault.
+
+    kind is function for one of the module, method for one right inside a class, nested otherwise. fault is '' or one of
+    range, syntax, no_function and several_functions.
+    """
+    none = {"name": None, "kind": None, "start_line": None, "end_line": None}
+    text = source or ""
+    if not 0 <= begin < end <= len(text) or not text[begin:end].strip():
+        return none | {"fault": "range"}
+    try:
+        tree = _parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return none | {"fault": "syntax"}
+    lines = re.split(r"(?<=\n)|(?<=\r)(?!\n)", text)
+    starts = [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line))
+    place = lambda line, column: starts[line - 1] + len(lines[line - 1].encode()[:column].decode("utf-8", "ignore"))
+    b = begin + len(text[begin:end]) - len(text[begin:end].lstrip())
+    e = begin + len(text[begin:end].rstrip())
+    found = []
+    stack: list[tuple[ast.AST, str, str]] = [(tree, "", "function")]
+    while stack:
+        node, prefix, kind = stack.pop()
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                body = child.body
+                ends = place(body[-1].end_lineno, body[-1].end_col_offset)
+                first = {place(s.lineno, s.col_offset) for s in (body[:2] if _is_doc(body[0]) else body[:1])}
+                if b in first and e == ends:
+                    found.append({"name": prefix + child.name, "kind": kind, "start_line": min([child.lineno, *(d.lineno for d in child.decorator_list)]), "end_line": child.end_lineno, "fault": ""})
+                stack.append((child, f"{prefix}{child.name}.", "nested"))
+            elif isinstance(child, ast.ClassDef):
+                stack.append((child, f"{prefix}{child.name}.", "method" if isinstance(node, (ast.Module, ast.ClassDef)) else "nested"))
+            else:
+                stack.append((child, prefix, kind if isinstance(child, ast.mod) else "nested"))
+    return found[0] if len(found) == 1 else none | {"fault": "several_functions" if found else "no_function"}

@@ -430,3 +430,30 @@ def model_search(spark: SparkSession, d: str) -> DataFrame:
     on_test = search.macro_f1(best.transform(of("test"))) if best else None
     shape = "family string, setting string, f1_macro double, place int, test_f1_macro double"
     return rounded(spark.createDataFrame([(r["family"], r["setting"], r["f1_macro"], r["place"], on_test if r["place"] == 1 else None) for r in found], shape), "f1_macro", "test_f1_macro")
+
+
+@query()
+def located_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The function whose body a candidate's solution is, by its place behind the prompt, or the fault that keeps it from being told."""
+    def make(prompt: str | None, solution: str | None) -> tuple:
+        whole = (prompt or "") + (solution or "")
+        found = code.located(whole, len(prompt or ""), len(whole))
+        return found["name"], found["kind"], found["start_line"], found["end_line"], found["fault"]
+
+    rows = table(spark, d, "candidates").where("endswith(relative_path, '.py')").select("line_no", "prompt", "solution")
+    return continuation.with_columns(rows, ["prompt", "solution"], make, "name string, kind string, start_line int, end_line int, fault string")
+
+
+@query(f"""WITH {OCC}, {ROLLUP.split('base AS')[0].split('files AS', 1)[1].join(['files AS', '']).rstrip().rstrip(',')}, a AS (SELECT snapshot_id, relative_path, file_key, count(*) AS units, sum(coalesce(w, 0))::BIGINT AS tokens FROM occ GROUP BY 1, 2, 3),
+j AS (SELECT CASE WHEN f.snapshot_id IS NULL THEN 'only_units' WHEN a.snapshot_id IS NULL THEN 'only_file' WHEN f.physical_line_count < a.units THEN 'more_units_than_lines' WHEN f.physical_line_count IS NULL THEN 'no_lines' ELSE 'agrees' END AS state, a.units, a.tokens FROM a FULL JOIN files f ON f.snapshot_id = a.snapshot_id AND f.relative_path = a.relative_path AND f.file_key = a.file_key)
+SELECT state, count(*) AS files, coalesce(sum(units), 0)::BIGINT AS units, coalesce(sum(tokens), 0)::BIGINT AS tokens FROM j GROUP BY 1""")
+def table_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """Files and units held against each other by key, both ways: those on one side only, and those whose figures can't both be true."""
+    occ = rollup.distinct_occurrences(table(spark, d, "occurrences")).groupBy(*rollup.FILE_KEY).agg(F.count("*").alias("units"), F.sum(F.coalesce("npr_body_space_by_token_count", F.lit(0))).alias("tokens"))
+    files = rollup.distinct_files(table(spark, d, "source_files")).select(*(F.col(c).alias(f"f_{c}") for c in rollup.FILE_KEY), "physical_line_count")
+    both = occ.join(files, [F.col(c) == F.col(f"f_{c}") for c in rollup.FILE_KEY], "full")
+    state = (
+        F.when(F.col("f_snapshot_id").isNull(), "only_units").when(F.col("snapshot_id").isNull(), "only_file").when(F.col("physical_line_count") < F.col("units"), "more_units_than_lines")
+        .when(F.col("physical_line_count").isNull(), "no_lines").otherwise("agrees")
+    )
+    return both.groupBy(state.alias("state")).agg(F.count("*").alias("files"), F.coalesce(F.sum("units"), F.lit(0)).alias("units"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))

@@ -248,3 +248,13 @@ def test_running_maximum_and_pareto(spark):
     rows = [(f"c{i}", rng.randrange(20) / 10, rng.randrange(20) / 10) for i in range(80)]
     got = {r["k"] for r in selection.pareto(spark.createDataFrame(rows, "k string, a double, b double"), "k", "a", "b").collect()}
     assert got == {k for k, a, b in rows if not any(x >= a and y >= b and (x > a or y > b) for _, x, y in rows)}
+
+
+def test_bodies_are_located():
+    source = "class A:\n    @mark\n    def é(self):\n        '''doc'''\n        x = 'ä'\n        return x\n\ndef f():\n    def g():\n        return 1\n    return g\n"
+    at = lambda body: (source.index(body), source.index(body) + len(body))
+    whole = code.located(source, *at("        x = 'ä'\n        return x\n"))
+    assert (whole["name"], whole["kind"], whole["start_line"], whole["end_line"], whole["fault"]) == ("A.é", "method", 2, 6, "")
+    assert code.located(source, *at("'''doc'''\n        x = 'ä'\n        return x"))["name"] == "A.é"
+    assert code.located(source, *at("        return 1\n"))["kind"] == "nested" and code.located(source, *at("def g():\n        return 1\n    return g"))["name"] == "f"
+    assert code.located(source, *at("return g"))["fault"] == "no_function" and code.located("def (", 0, 3)["fault"] == "syntax" and code.located(None, 0, 1)["fault"] == "range"
