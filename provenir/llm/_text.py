@@ -112,10 +112,35 @@ def likeness(a: str, b: str, width: int = 3) -> float:
     return both / (len(s) + len(t) - both) if s or t else 0.0
 
 
-def run_set(text: str, width: int = 3) -> frozenset:
-    """The distinct runs of width tokens."""
-    tokens = TOKEN.findall(text)
-    return frozenset(zip(*(tokens[k:] for k in range(width))))
+def run_hashes(text: str, width: int = 3) -> np.ndarray:
+    """The distinct runs of width tokens as sorted 64-bit hashes."""
+    return np.unique(runs(*token_hashes([text]), width)[0])
+
+
+def shared_share(s: np.ndarray, t: np.ndarray) -> float:
+    """Shared values over all values of two sorted sets; 0 where both are empty."""
+    if not len(s) or not len(t):
+        return 0.0
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    both = int((t[at] == s).sum())
+    return both / (len(s) + len(t) - both)
+
+
+class Kept(dict):
+    """What make gives for a text, kept for the next pair that has it; emptied when it holds KEPT texts."""
+
+    KEPT = 8192
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str):
+        if len(self) >= self.KEPT:
+            self.clear()
+        value = self[text] = self.make(text)
+        return value
 
 
 def with_likeness(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -124,13 +149,9 @@ def with_likeness(pairs: DataFrame, a: str, b: str) -> DataFrame:
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "likeness double"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Kept(run_hashes)
         for batch in slices(batches, a, b):
-            seen: dict[str, frozenset] = {}
-            score = []
-            for pair in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist()):
-                s, t = (seen.get(x) or seen.setdefault(x, run_set(x)) for x in pair)
-                both = len(s & t)
-                score.append(both / (len(s) + len(t) - both) if s or t else 0.0)
+            score = [shared_share(kept[x], kept[y]) for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist())]
             arrays = [batch.column(f.name) for f in keep]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(score, pa.float64())], [*(f.name for f in keep), "likeness"])
 

@@ -135,13 +135,12 @@ def overlap(a: str, b: str) -> tuple[float, float]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = X.Kept(lambda text: (X.run_hashes(text), _chunk_map(text)))
     for batch in X.slices(batches, "text_train", "text_held"):
-        seen: dict[str, tuple] = {}
         both, like = [], []
-        for pair in zip(batch.column("text_train").to_pylist(), batch.column("text_held").to_pylist()):
-            a, b = (seen.get(x) or seen.setdefault(x, (X.run_set(x), _chunk_map(x))) for x in pair)
-            common = len(a[0] & b[0])
-            like.append(common / max(1, len(a[0]) + len(b[0]) - common))
+        for x, y in zip(batch.column("text_train").to_pylist(), batch.column("text_held").to_pylist()):
+            a, b = kept[x], kept[y]
+            like.append(X.shared_share(a[0], b[0]))
             both.append(_shares(a[1], b[1]))
         yield pa.RecordBatch.from_arrays(
             [batch.column("train"), batch.column("held"), pa.array([x for x, _ in both], pa.float64()), pa.array([y for _, y in both], pa.float64()), pa.array(like, pa.float64())],
