@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provenir.functions import code, hashing, text
-from provenir.operators import checks, matching, metrics, pairs, quantiles, rollup, selection, splits
+from provenir.operators import checks, matching, metrics, pairs, quantiles, rollup, selection, splits, vectors
 from provenir.plans.registry import DRAWS, EVENTS, HALVES, LATEST, OCC, RANKED, SCORED, _events, _halves, _latest, _ranked, _scored, query, rounded
 from provenir.runtime import cut, table
 from provenir.sources import readers
@@ -158,12 +158,8 @@ def chat_lines(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def token_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Skip-gram vectors of the words of the training rows, human and machine; 128 wide and five passes, as the reference's."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    words = _halves(spark, d).where("code is not null and side is not null and split = 'train'").select(F.split("code", r"\W+").alias("words"))
-    model = Word2Vec(vectorSize=128, minCount=3, maxIter=5, numPartitions=6, seed=1, inputCol="words", outputCol="v").fit(words)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    rows = _halves(spark, d).where("code is not null and side is not null and split = 'train'").select("idx", "code")
+    return vectors.skip_gram(rows, "idx", "code", size=128, least=3, passes=5, parts=6, seed=1)
 
 
 @query()

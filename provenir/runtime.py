@@ -59,6 +59,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; release() deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that cut() wrote for this session; frames that read them end with it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
