@@ -36,9 +36,9 @@ def test_training_takes_a_fraction_of_the_tree_softmax():
     share = 1 / np.arange(10, 10_010)
     ids = rng.choice(10_000, 60_000, p=share / share.sum()).astype("i4")
     trainer = Trainer(rng.random((10_000, 256), dtype="f4") / 128, np.bincount(ids, minlength=10_000) + 1, [1])
-    began = time.process_time()
+    began = time.thread_time()
     trainer.sentences(ids, np.full(400, 150), 0.025)
-    assert (time.process_time() - began) / 60_000 < 15e-6  # with Spark's Word2Vec 33e-6 or more
+    assert (time.thread_time() - began) / 60_000 < 15e-6  # Spark's Word2Vec on sf0.1: 39 s on 6 cores for 1.42 million words and five passes, 33e-6 at most
     assert np.isfinite(trainer.vectors).all()
 
 
